@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attendra import config
-from attendra.operators.filters import isin_set
 from attendra.operators.ordering import top_k
 from attendra.operators.windows import top_n_per
 
@@ -20,7 +19,7 @@ def sample_per(
     df: DataFrame, by: str, n: int, key: str, seed: int = config.SAMPLE_SEED
 ) -> DataFrame:
     """At most ``n`` rows of each stratum (null is a stratum of its own)."""
-    return top_n_per(df, [by], [shuffle_key(key, seed), F.col(key)], n)
+    return top_n_per(df, [by], [shuffle_key(key, seed), F.col(key)], n, spread=True)
 
 
 def sample_top(
@@ -32,5 +31,5 @@ def sample_top(
     seed: int = config.SAMPLE_SEED,
 ) -> DataFrame:
     """At most ``n`` rows of each of the ``k`` largest strata."""
-    largest = top_k(df, by, k).select(by)
-    return sample_per(isin_set(df, by, largest), by, n, key, seed)
+    largest = F.broadcast(top_k(df, by, k).select(by))  # k rows
+    return sample_per(df.join(largest, by, "left_semi"), by, n, key, seed)

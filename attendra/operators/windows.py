@@ -54,32 +54,40 @@ def distinct_members_before(
 ) -> DataFrame:
     """Members first met before each period: real moves, not years attended.
 
-    One row per entity and period. Members are counted in the period of their
-    first appearance, then summed over the earlier periods.
+    One row per entity and period. Each member counts once, in the period of
+    its first appearance; these counts are summed over the earlier periods.
     """
-    seen = df.groupBy(entity, member).agg(F.min(period).alias(period))
-    firsts = seen.groupBy(entity, period).agg(F.count(member).alias("_new"))
-    periods = df.select(entity, period).distinct()
+    # A member's list holds at most one element per period.
+    met = df.groupBy(entity, member).agg(
+        F.sort_array(F.collect_set(F.struct(period))).alias("periods")
+    )
+    appearances = met.select(entity, member, F.posexplode("periods").alias("at", "seen"))
+    new = F.count_if((F.col("at") == 0) & F.col(member).isNotNull())
     earlier = (
         Window.partitionBy(entity)
         .orderBy(period)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
     return (
-        periods.join(firsts, [entity, period], "left")
+        appearances.groupBy(entity, F.col(f"seen.{period}").alias(period))
+        .agg(new.alias("_new"))
         .withColumn(name, F.coalesce(F.sum("_new").over(earlier), F.lit(0)))
         .drop("_new")
     )
 
 
-def top_n_per(df: DataFrame, by: Sequence[str], order: Sequence, n: int) -> DataFrame:
+def top_n_per(
+    df: DataFrame, by: Sequence[str], order: Sequence, n: int, spread: bool = False
+) -> DataFrame:
     """The first ``n`` rows of each group in the given total order.
 
     Up to ``GROUP_LIMIT`` rows Spark itself prunes each input task to its
-    leading rows before shuffling. Beyond that a first round over salted groups
-    does the same, so no task ever receives a whole hot group.
+    leading rows before shuffling, so a group's task gets at most n rows per
+    input task. ``spread`` puts a round over salted groups in between, for few
+    and large groups, which bounds it to n rows per salt. Larger n always take
+    that round.
     """
-    if n > GROUP_LIMIT:
+    if spread or n > GROUP_LIMIT:
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
         df = _leading(salted, [*by, "_salt"], order, n).drop("_salt")
     return _leading(df, by, order, n)

@@ -61,7 +61,11 @@ def attendance_years(attendance: DataFrame, until: int | None = None) -> DataFra
 
 
 def student_history(
-    years: DataFrame, enrollment: DataFrame, until: int | None = None
+    years: DataFrame,
+    enrollment: DataFrame,
+    until: int | None = None,
+    strict_period: bool = False,
+    known_at_start: bool = False,
 ) -> DataFrame:
     """Attendance years with lags and mobility, one row per student and year.
 
@@ -73,6 +77,9 @@ def student_history(
     ``lifetime_school_transfers`` of year Y is the number of yearly school
     counts before Y-1, minus one, and null unless the student was enrolled in
     Y-1.
+
+    ``strict_period`` nulls lags across a gap. The moves of year Y itself are
+    not known when Y begins; ``known_at_start`` gives those of Y-1 instead.
     """
     if until is not None:
         enrollment = enrollment.filter(F.col(YEAR) <= until)
@@ -93,6 +100,13 @@ def student_history(
         )
         .drop("_total", "schools_this_year")
     )
+    if known_at_start:
+        both = both.withColumns(
+            {
+                c: F.when(last_year, F.lag(c, 1).over(past))
+                for c in ("school_transfers_this_year", "transferred_this_year")
+            }
+        )
     # Years without attendance are no observations, so lags come after this.
     attended = both.filter(F.col("attendance_rate").isNotNull())
     return lags(
@@ -100,6 +114,7 @@ def student_history(
         STUDENT,
         YEAR,
         {"attendance_rate": [1, 2], "tardy_total": [1], "excused_absences": [1]},
+        strict_period,
     )
 
 
@@ -144,13 +159,17 @@ def medicaid(current: DataFrame) -> DataFrame:
     return presence(current.filter(F.col("current_ind").cast("boolean")), STUDENT, "medicaid_indicator")
 
 
-def feature_rows(spine: DataFrame, tables: Mapping[str, DataFrame], **kwargs) -> DataFrame:
+def feature_rows(
+    spine: DataFrame,
+    tables: Mapping[str, DataFrame],
+    patterns: Mapping[str, str] = config.CONDITION_PATTERNS,
+) -> DataFrame:
     """Spine plus every student-level feature, nulls filled."""
     rows = assemble(
         spine,
         [
             demographics(tables["student"]),
-            medical(tables["student_condition"], tables["condition"], **kwargs),
+            medical(tables["student_condition"], tables["condition"], patterns),
             compliance(tables["health_indicator"]),
             medicaid(tables["medicaid"]),
         ],

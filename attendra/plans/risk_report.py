@@ -42,7 +42,8 @@ def scoped_features(
     year: int,
     cohort: str,
     years: DataFrame | None = None,
-    **kwargs,
+    patterns: Mapping[str, str] = config.CONDITION_PATTERNS,
+    **history_options,
 ) -> DataFrame:
     """Feature rows of ``year`` for the students in scope.
 
@@ -61,9 +62,9 @@ def scoped_features(
             years = years.join(keys, STUDENT, "left_semi")
     if years is None:
         years = attendance_years(tables["attendance"], until=year)
-    history = student_history(years, tables["enrollment"], until=year)
+    history = student_history(years, tables["enrollment"], year, **history_options)
     spine = scope(in_period(history, YEAR, year), within, STUDENT)
-    return feature_rows(spine, tables, **kwargs)
+    return feature_rows(spine, tables, patterns)
 
 
 def risk_rows(
@@ -77,7 +78,8 @@ def risk_rows(
 ) -> DataFrame:
     """Scored and tiered report rows, still carrying the source key, unordered.
 
-    With ``vocab`` the scorer also finds ``<category>_code`` columns.
+    With ``vocab`` the scorer also finds ``<category>_code`` columns. Further
+    options are those of ``scoped_features``.
     """
     rows = scoped_features(tables, year, cohort, **kwargs)
     if vocab is not None:
@@ -101,7 +103,8 @@ def risk_report(
     """The ordered report with surrogate ids in place of the source key.
 
     With a ``salt`` ids are keyed hashes (stable, tell no rank); without one
-    they are ordinals in report order.
+    they are ordinals in report order. Further options are those of
+    ``risk_rows``.
     """
     rows = risk_rows(tables, year, cohort, scorer, **kwargs)
     if salt is None:

@@ -18,22 +18,26 @@ COLUMNS = (STUDENT, YEAR, *config.NUMERIC_FEATURES, *config.CATEGORY_FEATURES, c
 
 
 def training_set(
-    tables: Mapping[str, DataFrame], years: DataFrame | None = None, **kwargs
+    tables: Mapping[str, DataFrame],
+    years: DataFrame | None = None,
+    patterns: Mapping[str, str] = config.CONDITION_PATTERNS,
+    **history_options,
 ) -> DataFrame:
     """One row per student-year that has an earlier attendance year.
 
     ``years`` may hold ``attendance_years`` computed before.
     """
     years = attendance_years(tables["attendance"]) if years is None else years
-    history = student_history(years, tables["enrollment"])
+    history = student_history(years, tables["enrollment"], **history_options)
     spine = with_history(history, "attendance_rate_t_minus_1")
-    return feature_rows(spine, tables, **kwargs).select(*COLUMNS)
+    return feature_rows(spine, tables, patterns).select(*COLUMNS)
 
 
 def latest_with_school(rows: DataFrame, enrollment: DataFrame, school: DataFrame) -> DataFrame:
     """Rows of the most recent year with the student's school code of that year.
 
     The year stays inside the plan as a one-row side instead of a fetched value.
+    ``rows`` is read more than once, so it should be a stored table.
     """
     latest = latest_period(rows, YEAR)
     current = enrollment.join(latest, YEAR, "left_semi")

@@ -97,5 +97,5 @@ def profile(
         *(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in matched)
     )
     distinct = df.select(F.inline(cells)).distinct()
-    found = top_n_per(distinct, ["column"], [F.col("value").asc_nulls_first()], values)
+    found = top_n_per(distinct, ["column"], [F.col("value").asc_nulls_first()], values, spread=True)
     return listing.unionByName(found.select("column", F.lit(True).alias("present"), "value"))

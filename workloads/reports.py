@@ -81,8 +81,10 @@ def training_set(t):
     return training(t).withColumns({c: F.round(c, 6) for c in RATES})
 
 
+# The test orders end on the first day of a year, so the last full year counts.
 LATEST_SQL = f"""{TRAINING_SQL},
-latest AS (SELECT MAX(school_year) AS school_year FROM features),
+latest AS (SELECT MAX(school_year) AS school_year FROM features
+           WHERE school_year <= {standin.TARGET_YEAR}),
 placed AS (
     SELECT f.student_key, f.school_year, s.school_code
     FROM features f JOIN latest USING (school_year)
@@ -93,33 +95,43 @@ placed AS (
 SAMPLE_ORDER = "md5(CAST(student_key AS VARCHAR) || '|42'), student_key"
 
 
-def _stored(t):
-    rows = training(t).select("student_key", "school_year", "attendance_rate_t_minus_1")
-    return materialize(rows, "training").drop("attendance_rate_t_minus_1")
+
+
+def _placing(t):
+    """Stored training rows of full years, and the domain tables that place them."""
+    tables = standin.tables(t)
+    rows = S.training_set(tables, patterns=standin.PATTERNS).filter(
+        F.col("school_year") <= standin.TARGET_YEAR
+    )
+    return materialize(rows, "training"), tables
 
 
 @query(
     "school_sample",
     f"""WITH {LATEST_SQL}
     SELECT student_key, school_year, school_code FROM placed
-    QUALIFY row_number() OVER (PARTITION BY school_code ORDER BY {SAMPLE_ORDER}) <= 2""",
+    QUALIFY row_number() OVER (PARTITION BY school_code ORDER BY {SAMPLE_ORDER}) <= 5""",
 )
 def school_sample(t):
-    return S.school_sample(_stored(t), standin.enrollment(t), standin.school(t), n=2)
+    rows, tables = _placing(t)
+    sample = S.school_sample(rows, tables["enrollment"], tables["school"], n=5)
+    return sample.select("student_key", "school_year", "school_code")
 
 
 @query(
     "network_sample",
     f"""WITH {LATEST_SQL}, named AS (
         SELECT p.*, s.school_name, s.governance AS network FROM placed p JOIN school s USING (school_code))
-    SELECT * FROM named WHERE network IN (
+    SELECT student_key, school_year, school_code, school_name, network FROM named
+    WHERE network IN (
         SELECT network FROM named GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 2)
-    QUALIFY row_number() OVER (PARTITION BY network ORDER BY {SAMPLE_ORDER}) <= 10""",
+    QUALIFY row_number() OVER (PARTITION BY network ORDER BY {SAMPLE_ORDER}) <= 20""",
 )
 def network_sample(t):
-    school = standin.school(t)
-    listing = school.withColumnRenamed("governance", "network")
-    return S.network_sample(_stored(t), standin.enrollment(t), school, listing, n=10)
+    rows, tables = _placing(t)
+    listing = tables["school"].withColumnRenamed("governance", "network")
+    sample = S.network_sample(rows, tables["enrollment"], tables["school"], listing, n=20)
+    return sample.select("student_key", "school_year", "school_code", "school_name", "network")
 
 
 # The school file knows the networks of three regions only.
