@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attendra import config
@@ -23,6 +23,15 @@ def learn_vocab(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return labels.withColumn("code", (place - 1).cast("int"))
 
 
+def fixed_vocab(spark: SparkSession) -> DataFrame:
+    """The vocabularies with fixed labels, in the same form.
+
+    Union with the languages, which are learned or read from a file.
+    """
+    rows = [(f, label, i) for f, labels in config.VOCABULARY.items() for i, label in enumerate(labels)]
+    return spark.createDataFrame(rows, "feature string, label string, code int")
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -33,7 +42,8 @@ def encode(
     """Add ``<column>_code`` for each column.
 
     A label outside the vocabulary gets the code of ``fallback``; where the
-    vocabulary has no such label, the next free code.
+    vocabulary has no such label, the next free code. ``vocab`` is read once
+    per column and more, so it should be a file or a stored table.
     """
     used = vocab.filter(F.col("feature").isin(*columns))
     summary = {

@@ -99,7 +99,8 @@ class PandasScorer:
             for batch in batches:
                 yield pd.Series(model(batch), dtype="float64")
 
-        chance = predict(F.struct(*self.inputs))
+        # Declared so, Spark does not copy the call into filters on the score.
+        chance = predict.asNondeterministic()(F.struct(*self.inputs))
         return df.withColumn(SCORE, F.round(chance, SCORE_DIGITS))
 
 

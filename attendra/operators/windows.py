@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 # Spark keeps only the leading rows of each group ahead of the shuffle for
 # limits up to this size (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# Tasks per group in the extra round; more where nothing is pruned before it.
 SALTS = 64
+WIDE_SALTS = 4096
 
 
 def lags(
@@ -85,10 +87,12 @@ def top_n_per(
     leading rows before shuffling, so a group's task gets at most n rows per
     input task. ``spread`` puts a round over salted groups in between, for few
     and large groups, which bounds it to n rows per salt. Larger n always take
-    that round.
+    that round. All rows of an input task share a salt, so that round does not
+    weaken the pruning before it.
     """
     if spread or n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        salts = SALTS if n <= GROUP_LIMIT else WIDE_SALTS
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         df = _leading(salted, [*by, "_salt"], order, n).drop("_salt")
     return _leading(df, by, order, n)
 

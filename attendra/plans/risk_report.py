@@ -47,17 +47,18 @@ def scoped_features(
 ) -> DataFrame:
     """Feature rows of ``year`` for the students in scope.
 
-    The scope is stored once. If its counted size allows a broadcast, the facts
-    are reduced to its students while they are scanned; otherwise they are
-    rolled up first and meet the scope in a shuffled join, so that a student
-    with very many rows never lands in one task unaggregated.
+    The scope is stored once. If its counted size allows a broadcast, every
+    student table is reduced to its students while being scanned; otherwise
+    facts are rolled up first and meet the scope in a shuffled join, so that a
+    student with very many rows never lands in one task unaggregated.
     """
     within = materialize(students_in_scope(tables, year, cohort), "scope")
-    tables = dict(tables)
     if is_small(within):
         keys = F.broadcast(within.select(STUDENT))
-        for name in ("attendance", "enrollment", "student_condition"):
-            tables[name] = tables[name].join(keys, STUDENT, "left_semi")
+        tables = {
+            name: df.join(keys, STUDENT, "left_semi") if STUDENT in df.columns else df
+            for name, df in tables.items()
+        }
         if years is not None:
             years = years.join(keys, STUDENT, "left_semi")
     if years is None:
@@ -105,8 +106,11 @@ def risk_report(
     With a ``salt`` ids are keyed hashes (stable, tell no rank); without one
     they are ordinals in report order. Further options are those of
     ``risk_rows``.
+
+    The slim scored rows are stored before they are sorted: a sort samples its
+    input first, and would score everything twice.
     """
-    rows = risk_rows(tables, year, cohort, scorer, **kwargs)
+    rows = materialize(risk_rows(tables, year, cohort, scorer, **kwargs), "scored")
     if salt is None:
         return ordinal_ids(rows, report_order(STUDENT), STUDENT)
     return keyed_ids(rank_list(rows, STUDENT), STUDENT, salt)

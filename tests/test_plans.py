@@ -9,6 +9,7 @@ from attendra.operators.scoring import LogisticScorer, PandasScorer, SparkModelS
 from attendra.plans import network_report as N
 from attendra.plans import risk_report as R
 from attendra.plans import training_set as S
+from attendra.plans import what_if as W
 from attendra.plans.features import attendance_years, student_history
 
 COHORT = "All Schools"
@@ -130,10 +131,7 @@ def test_report_is_ordered_tiered_and_without_keys(domain):
 
 
 def test_codes_fall_back_to_unknown_or_the_next_free_code(domain, spark):
-    vocab = spark.createDataFrame(
-        [(f, label, i) for f, labels in config.VOCABULARY.items() for i, label in enumerate(labels)],
-        "feature string, label string, code int",
-    )
+    vocab = E.fixed_vocab(spark)
     columns = list(config.VOCABULARY)
     coded = E.encode(R.scoped_features(domain, 2025, COHORT), vocab, columns)
     got = {r.student_key: (r.student_gender_code, r.student_race_code) for r in coded.collect()}
@@ -165,6 +163,27 @@ def test_scorers_agree(domain):
     assert inline == pytest.approx(outside)
 
 
+def test_python_model_runs_once_per_row_despite_a_filter(domain):
+    rows = R.scoped_features(domain, 2025, COHORT)
+    kept = pandas_twin().score(rows).filter("risk_score >= 0.4").filter("risk_score < 0.9")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_profiles_are_completed_scored_and_tiered(spark):
+    profiles = spark.createDataFrame(
+        [("p1", "Female", "Multiracial", "Grade 7", 0.7, None), ("p2", None, None, None, None, 1)],
+        "student_key string, student_gender string, student_race string, "
+        "student_current_grade_code string, attendance_rate_t_minus_1 double, medicaid_indicator int",
+    )
+    got = {r.student_key: r for r in W.score_profiles(W.from_display(profiles), SCORER).collect()}
+    assert (got["p1"].student_gender, got["p1"].student_race) == ("F", "Multi")
+    assert (got["p1"].student_current_grade_code, got["p2"].student_gender) == ("07", "Unknown")
+    assert (got["p1"].was_chronic_last_year, got["p2"].was_chronic_last_year) == (1, 0)
+    assert got["p1"].risk_tier == "High Risk" and got["p1"].dental_compliant == 1
+    assert got["p2"].risk_score == pytest.approx(1 / (1 + 2.718281828459045**0.1), abs=1e-4)
+
+
 def test_contributions_rederive_the_chronic_flag_and_agree_between_scorers(domain):
     rows = R.scoped_features(domain, 2025, COHORT)
     inline = contributions(rows, SCORER).orderBy("student_key", "rank").collect()

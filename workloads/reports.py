@@ -3,9 +3,12 @@
 from pyspark.sql import functions as F
 
 from attendra import config
+from attendra.functions.columns import translate
+from attendra.operators.scoring import LogisticScorer
 from attendra.plans import network_report as N
 from attendra.plans import risk_report as R
 from attendra.plans import training_set as S
+from attendra.plans.what_if import from_display, score_profiles
 from attendra.sources.storage import materialize
 from workloads import standin
 from workloads.registry import query
@@ -184,3 +187,50 @@ def school_ranking(t):
 )
 def follow_up_table(t):
     return N.follow_up_table(standin.scored(t), config.DISPLAY_THRESHOLD)
+
+
+# Profiles knowing last year's rate (over all days) and three indicators only.
+PROFILE_WEIGHTS = {
+    "attendance_rate_t_minus_1": -4.0,
+    "was_chronic_last_year": 0.25,
+    "student_special_ed_indicator": 0.5,
+    "medicaid_indicator": 0.4,
+    "dental_compliant": -0.2,
+}
+PROFILE_SQL = f"""{standin.SCORED_SQL}, profiles AS (
+    SELECT student_id AS student_key, COALESCE(gender, 'Unknown') AS student_gender,
+        COALESCE(prior_yr_attendance, 0.95) AS attendance_rate_t_minus_1,
+        CAST(COALESCE(prior_yr_attendance, 0.95) < 0.90 AS INTEGER) AS was_chronic_last_year,
+        CASE WHEN gender = 'F' THEN 1 ELSE 0 END AS student_special_ed_indicator,
+        0 AS medicaid_indicator, 1 AS dental_compliant FROM scored)"""
+
+
+@query(
+    "what_if",
+    f"""WITH {PROFILE_SQL}, rescored AS (
+        SELECT *, {standin.logistic_sql(PROFILE_WEIGHTS, 2.5)} AS risk_score FROM profiles)
+    SELECT student_key, student_gender, 'English' AS student_language, dental_compliant, risk_score,
+        CASE WHEN risk_score >= 0.6 THEN 'High Risk' WHEN risk_score >= 0.4 THEN 'Elevated Risk'
+             ELSE 'Low Risk' END AS risk_tier,
+        CAST(CAST(trunc(risk_score * 100) AS BIGINT) AS VARCHAR) || '%' AS likelihood
+    FROM rescored""",
+)
+def what_if(t):
+    scored = standin.scored(t)
+    shown = {"F": "Female", "M": "Male", "N": "Non-binary"}
+    profiles = scored.select(
+        F.col("student_id").alias("student_key"),
+        translate("gender", shown).alias("student_gender"),
+        F.col("prior_yr_attendance").alias("attendance_rate_t_minus_1"),
+        F.when(F.col("gender") == "F", 1).alias("student_special_ed_indicator"),
+    )
+    scorer = LogisticScorer(PROFILE_WEIGHTS, 2.5)
+    return score_profiles(from_display(profiles), scorer).select(
+        "student_key",
+        "student_gender",
+        "student_language",
+        "dental_compliant",
+        "risk_score",
+        "risk_tier",
+        "likelihood",
+    )

@@ -42,7 +42,7 @@ def learn_vocab(t):
     FROM part LEFT JOIN codes USING (p_brand)""",
 )
 def encode(t):
-    vocab = E.learn_vocab(t.part.filter("p_size < 5"), ["p_brand"])
+    vocab = materialize(E.learn_vocab(t.part.filter("p_size < 5"), ["p_brand"]), "vocab")
     return E.encode(t.part.select("p_partkey", "p_brand"), vocab, ["p_brand"]).drop("p_brand")
 
 
