@@ -37,9 +37,9 @@ def encode(
     vocab: DataFrame,
     columns: Sequence[str],
     fallback: str = config.UNKNOWN,
-    suffix: str = "_code",
+    suffix: str = config.INDEX_SUFFIX,
 ) -> DataFrame:
-    """Add ``<column>_code`` for each column.
+    """Add ``<column>_index`` for each column.
 
     A label outside the vocabulary gets the code of ``fallback``; where the
     vocabulary has no such label, the next free code. ``vocab`` is read once

@@ -98,11 +98,14 @@ def best_threshold(df: DataFrame, label: str = config.LABEL, score: str = SCORE)
 
 def fit(
     df: DataFrame,
-    inputs: Sequence[str] = config.NUMERIC_FEATURES,
+    inputs: Sequence[str] = config.MODEL_INPUTS,
     label: str = config.LABEL,
     **gbt,
 ) -> tuple[PipelineModel, float]:
-    """Train a boosted-tree classifier and find its best-F1 threshold."""
+    """Train a boosted-tree classifier and find its best-F1 threshold.
+
+    Training passes over ``df`` many times, so it should be a stored table.
+    """
     settings = {"maxIter": 20, "maxDepth": 4, "seed": config.SAMPLE_SEED, **gbt}
     pipeline = Pipeline(
         stages=[
@@ -126,7 +129,8 @@ def importance(
     """
     inputs = model.stages[0].getInputCols()
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(categories.get(f, "Other"), f, float(w)) for f, w in zip(inputs, weights, strict=True)]
+    names = [name.removesuffix(config.INDEX_SUFFIX) for name in inputs]
+    rows = [(categories.get(f, "Other"), f, float(w)) for f, w in zip(names, weights, strict=True)]
     factors = spark.createDataFrame(rows, "category string, factor string, impact double")
     totals = factors.groupBy("category").agg(F.sum("impact").alias("category_impact"))
     return factors.join(totals, "category").orderBy(

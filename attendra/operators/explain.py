@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from attendra import config
 from attendra.operators.scoring import SCORE, LogisticScorer, Scorer, rederive
-from attendra.operators.windows import top_n_per
 
 
 def _direction(delta: Column) -> Column:
@@ -70,11 +69,9 @@ def _rescored(base, scorer, key, neutrals, min_delta, cap) -> DataFrame:
         .filter(F.abs("delta") > min_delta)
         .withColumn("weight", -F.abs("delta"))
     )
-    kept = top_n_per(effects, [key], ["weight", "factor"], cap)
-    # Groups hold at most one row per factor.
-    ranked = kept.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("weight", "factor", "delta"))).alias("effects")
-    )
+    # A list holds at most one element per factor.
+    ordered = F.sort_array(F.collect_list(F.struct("weight", "factor", "delta")))
+    ranked = effects.groupBy(key).agg(F.slice(ordered, 1, cap).alias("effects"))
     return ranked.select(key, F.posexplode("effects").alias("at", "effect")).select(
         key,
         (F.col("at") + 1).alias("rank"),

@@ -74,12 +74,14 @@ def salted_lookup(fact: DataFrame, dim: DataFrame, key: Keys, salts: int) -> Dat
     """``lookup`` for a dimension too large to broadcast and a hot key.
 
     Each key's fact rows spread over ``salts`` tasks, at the price of ``salts``
-    copies of the dimension. The salt is a hash of the whole row, so a retried
-    task repeats it.
+    copies of the dimension. The salt is a hash of the row and of its task's
+    number: equal rows spread too, and a retried task repeats its salts.
     """
     keys = names(key)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    row = F.xxhash64(F.spark_partition_id(), *fact.columns)
+    salted = fact.withColumn("_salt", F.pmod(row, F.lit(salts)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")
+    copies = dim.withColumn("_salt", F.explode(every))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
 

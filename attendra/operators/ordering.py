@@ -45,7 +45,7 @@ def follow_up(
 
 def ordered_labels(df: DataFrame, column: str, prefix: str = "Network ") -> DataFrame:
     """Distinct labels, numbered ones by number, then the rest by name."""
-    number = F.regexp_extract(column, f"^{prefix}([0-9]+)", 1)
+    number = F.regexp_extract(column, rf"^\Q{prefix}\E([0-9]+)", 1)
     labels = df.select(column).filter(F.col(column).isNotNull()).distinct()
     return labels.orderBy(
         F.nullif(number, F.lit("")).try_cast("bigint").asc_nulls_last(), F.col(column)

@@ -79,7 +79,7 @@ def risk_rows(
 ) -> DataFrame:
     """Scored and tiered report rows, still carrying the source key, unordered.
 
-    With ``vocab`` the scorer also finds ``<category>_code`` columns. Further
+    With ``vocab`` the scorer also finds ``<category>_index`` columns. Further
     options are those of ``scoped_features``.
     """
     rows = scoped_features(tables, year, cohort, **kwargs)

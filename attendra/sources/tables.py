@@ -53,16 +53,26 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     )
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def export_csv(
+    df: DataFrame, path: str, single_file: bool = False, order_by: Sequence = ()
+) -> None:
     """Headered CSV, replacing what is there; one file only on request.
 
     A single file is written by a single task: fit for a report or a sample,
-    not for a full export.
+    not for a full export. Only the finished rows meet there, everything before
+    stays parallel; ``order_by`` gives their order in that file.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
+    if single_file and order_by:
+        out = out.sortWithinPartitions(*order_by)
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Columnar export for further processing, by default preferred over CSV."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Rows (feature, label, code) of files holding one ``{feature: [label, ...]}``.
 

@@ -77,6 +77,13 @@ def test_lookup_unique_never_adds_rows_and_salted_equals_plain(spark):
     assert rows(J.duplicate_keys(dim, "g")) == [(0, 2)]
 
 
+def test_salt_spreads_equal_rows(spark):
+    same = spark.range(0, 4000, 1, 16).select(F.lit(1).alias("g"))
+    dim = spark.createDataFrame([(1, "x")], "g int, name string")
+    joined = J.salted_lookup(same, dim, "g", 8)
+    assert joined.count() == 4000 and joined.filter("name = 'x'").count() == 4000
+
+
 def test_assembly_keeps_the_spine(spark):
     spine = spark.range(20)
     frames = [spark.range(5).withColumn("a", F.lit(1)), spark.range(3, 9).withColumn("b", F.lit(2))]

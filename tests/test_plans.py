@@ -134,7 +134,7 @@ def test_codes_fall_back_to_unknown_or_the_next_free_code(domain, spark):
     vocab = E.fixed_vocab(spark)
     columns = list(config.VOCABULARY)
     coded = E.encode(R.scoped_features(domain, 2025, COHORT), vocab, columns)
-    got = {r.student_key: (r.student_gender_code, r.student_race_code) for r in coded.collect()}
+    got = {r.student_key: (r.student_gender_index, r.student_race_index) for r in coded.collect()}
     races = config.VOCABULARY["student_race"]
     assert got["s1"] in [(0, races.index("White")), (1, races.index("White"))]
     assert got["s2"][1] == len(races)  # "Unknown" is no race label

@@ -12,10 +12,20 @@ def test_csv_keeps_codes_labels_and_nulls(spark, tmp_path):
     )
     path = str(tmp_path / "csv")
     S.export_csv(df, path)
-    S.export_csv(df, path, single_file=True)  # replaces
+    S.export_csv(df, path, single_file=True, order_by=["code"])  # replaces
     back = S.read_csv(spark, path, "code string, label string, x double")
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 1
+    (written,) = (tmp_path / "csv").glob("part-*.csv")
+    assert written.read_text().startswith("code,label,x")
+    assert [r.code for r in back.collect()] == ["007", "010", "1"]
+
+
+def test_parquet_export_partitions_and_replaces(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for n in (4, 3):
+        S.export_parquet(spark.range(n).selectExpr("id", "id % 2 AS part"), path, ["part"])
+    assert spark.read.parquet(path).count() == 3
+    assert {p.name for p in (tmp_path / "out").glob("part=*")} == {"part=0", "part=1"}
 
 
 def test_vocabulary_from_a_pretty_printed_object(spark, tmp_path):

@@ -39,16 +39,16 @@ def history(t):
 
 @query(
     "flt3_drill",
-    """SELECT r_name AS network, n_name AS school_name, s_suppkey, s_name
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    """SELECT r_name AS network, n_name AS school_name, c_custkey, c_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     WHERE r_name = 'ASIA' AND n_name = 'NATION_7'""",
 )
 def drill_down(t):
-    placed = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+    placed = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey")
     )
     rows = placed.select(
-        F.col("r_name").alias("network"), F.col("n_name").alias("school_name"), "s_suppkey", "s_name"
+        F.col("r_name").alias("network"), F.col("n_name").alias("school_name"), "c_custkey", "c_name"
     )
     return drill(rows, "ASIA", "NATION_7")
 

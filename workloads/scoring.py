@@ -8,8 +8,8 @@ from attendra.operators import encoding as E
 from attendra.operators import evaluation as V
 from attendra.operators.explain import contributions
 from attendra.operators.filters import flagged
-from attendra.operators.scoring import PandasScorer, SparkModelScorer, score
-from attendra.plans.risk_report import scoped_features
+from attendra.operators.scoring import LogisticScorer, PandasScorer, SparkModelScorer, score
+from attendra.plans.risk_report import risk_rows, scoped_features
 from attendra.plans.training_set import training_set
 from attendra.sources.storage import materialize
 from workloads import standin
@@ -38,7 +38,7 @@ def learn_vocab(t):
     """WITH codes AS (
         SELECT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code
         FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 5))
-    SELECT p_partkey, COALESCE(code, CAST((SELECT MAX(code) + 1 FROM codes) AS INTEGER)) AS p_brand_code
+    SELECT p_partkey, COALESCE(code, CAST((SELECT MAX(code) + 1 FROM codes) AS INTEGER)) AS p_brand_index
     FROM part LEFT JOIN codes USING (p_brand)""",
 )
 def encode(t):
@@ -94,6 +94,42 @@ def scores_pandas(t):
     return score(features(t), pandas_scorer()).select("student_key", "risk_score")
 
 
+INDEXED = LogisticScorer(
+    {**standin.SCORER.weights, "student_gender_index": 0.1, "student_current_grade_code_index": 0.02},
+    standin.SCORER.intercept - 0.3,
+)
+
+
+@query(
+    "ml3_score_indexed",
+    f"""WITH {standin.BATCH_FEATURES_SQL}, genders AS (
+        SELECT student_gender, dense_rank() OVER (ORDER BY student_gender) - 1 AS code
+        FROM (SELECT DISTINCT student_gender FROM student WHERE student_gender IS NOT NULL)),
+    grades AS (
+        SELECT student_current_grade_code,
+               dense_rank() OVER (ORDER BY student_current_grade_code) - 1 AS code
+        FROM (SELECT DISTINCT student_current_grade_code FROM student)),
+    indexed AS (
+        SELECT f.*, COALESCE(g.code, (SELECT MAX(code) + 1 FROM genders)) AS student_gender_index,
+               r.code AS student_current_grade_code_index
+        FROM features f LEFT JOIN genders g USING (student_gender)
+        LEFT JOIN grades r USING (student_current_grade_code))
+    SELECT student_key, {standin.logistic_sql(INDEXED.weights, INDEXED.intercept)} AS risk_score
+    FROM indexed""",
+)
+def scores_indexed(t):
+    vocab = materialize(E.learn_vocab(standin.student(t), config.CATEGORY_FEATURES), "vocab")
+    rows = risk_rows(
+        standin.tables(t),
+        standin.TARGET_YEAR,
+        standin.COHORT,
+        INDEXED,
+        vocab,
+        patterns=standin.PATTERNS,
+    )
+    return rows.select("student_key", "risk_score")
+
+
 def contributions_sql() -> str:
     cases = []
     for factor, (name, neutral) in config.NEUTRAL_VALUES.items():
@@ -186,28 +222,22 @@ def best_threshold(t):
     return V.best_threshold(labelled(t), "label").withColumn("f1", F.round("f1", 6))
 
 
-TRAIN_LABEL = "label"
-
-
 def training_rows(t):
-    """Stored training rows; here a student counts as chronic below 0.6."""
-    tables = standin.tables(t)
-    rows = training_set(tables, patterns=standin.PATTERNS)
-    label = (F.col("attendance_rate_t_minus_1") + F.col("attendance_rate_t_minus_2") < 1.3).cast("int")
-    return materialize(rows.withColumn(TRAIN_LABEL, label), "training")
+    """Stored training rows with all model inputs."""
+    rows = materialize(training_set(standin.tables(t), patterns=standin.PATTERNS), "training")
+    vocab = materialize(E.learn_vocab(rows, config.CATEGORY_FEATURES), "vocab")
+    return materialize(E.encode(rows, vocab, config.CATEGORY_FEATURES), "encoded")
 
 
 @query("ml7_fit")
 def fit(t):
     rows = training_rows(t)
-    model, threshold = V.fit(rows, label=TRAIN_LABEL, maxIter=3, maxDepth=3)
+    model, threshold = V.fit(rows, maxIter=5, maxDepth=3)
     scored = SparkModelScorer(model).score(rows)
-    return V.evaluate(scored, TRAIN_LABEL, threshold=threshold).withColumn(
-        "threshold", F.lit(threshold)
-    )
+    return V.evaluate(scored, threshold=threshold).withColumn("threshold", F.lit(threshold))
 
 
 @query("ml8_importance")
 def importance(t):
-    model, _ = V.fit(training_rows(t), label=TRAIN_LABEL, maxIter=3, maxDepth=3)
+    model, _ = V.fit(training_rows(t), maxIter=5, maxDepth=3)
     return V.importance(t.spark, model)
