@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attendra import config
-from attendra.operators.scoring import SCORE, LogisticScorer, Scorer, rederive
-
-
-def _direction(delta: Column) -> Column:
-    return F.when(delta > 0, "risk").otherwise("protective")
+from attendra.operators.scoring import SCORE, Neutrals, RowScorer, Scorer, rederive
 
 
 def contributions(
     df: DataFrame,
     scorer: Scorer,
     key: str = "student_key",
-    neutrals: Mapping[str, tuple[str, float]] = config.NEUTRAL_VALUES,
+    neutrals: Neutrals = config.NEUTRAL_VALUES,
     min_delta: float = config.MIN_CONTRIBUTION,
     cap: int = config.MAX_CONTRIBUTIONS,
 ) -> DataFrame:
@@ -29,53 +23,46 @@ def contributions(
     neutral value. Give flagged rows only: the work is a multiple of theirs.
     """
     base = df if SCORE in df.columns else scorer.score(df)
-    if isinstance(scorer, LogisticScorer):
-        return _inline(base, scorer, key, neutrals, min_delta, cap)
-    return _rescored(base, scorer, key, neutrals, min_delta, cap)
-
-
-def _inline(base, scorer, key, neutrals, min_delta, cap) -> DataFrame:
-    """All counterfactuals of a row in one expression: no shuffle at all."""
-
-    def effect(factor: str, name: str, neutral: float) -> Column:
-        delta = F.col(SCORE) - scorer.expression({name: F.lit(neutral)})
-        return F.struct((-F.abs(delta)).alias("weight"), F.lit(factor).alias("factor"), delta.alias("delta"))
-
-    effects = F.array(*(effect(f, name, neutral) for f, (name, neutral) in neutrals.items()))
-    kept = F.filter(effects, lambda e: F.abs(e["delta"]) > min_delta)
+    local = isinstance(scorer, RowScorer)
+    effects = _within_rows if local else _by_rescoring
+    found = effects(base, scorer, key, neutrals)
+    kept = F.filter("effects", lambda e: F.abs(e["delta"]) > min_delta)
     strongest = F.slice(F.array_sort(kept), 1, cap)
-    return base.select(key, F.posexplode(strongest).alias("at", "effect")).select(
+    delta = F.col("effect.delta")
+    return found.select(key, F.posexplode(strongest).alias("at", "effect")).select(
         key,
         (F.col("at") + 1).alias("rank"),
         F.col("effect.factor").alias("factor"),
-        F.round("effect.delta", 4).alias("delta"),
-        _direction(F.col("effect.delta")).alias("direction"),
+        F.round(delta, 4).alias("delta"),
+        F.when(delta > 0, "risk").otherwise("protective").alias("direction"),
     )
 
 
-def _rescored(base, scorer, key, neutrals, min_delta, cap) -> DataFrame:
-    """For models outside the plan: one row per factor, scored in one pass."""
+def _effect(factor: Column, delta: Column) -> Column:
+    """Sorts by strength, then by name."""
+    return F.struct((-F.abs(delta)).alias("weight"), factor.alias("factor"), delta.alias("delta"))
+
+
+def _within_rows(base: DataFrame, scorer: RowScorer, key: str, neutrals: Neutrals) -> DataFrame:
+    """All changes of a row are scored inside that row: no shuffle at all."""
+    scored = base.select(key, SCORE, scorer.counterfactuals(neutrals).alias("changed"))
+    effects = F.array(
+        *(_effect(F.lit(f), F.col(SCORE) - F.col("changed")[i]) for i, f in enumerate(neutrals))
+    )
+    return scored.select(key, effects.alias("effects"))
+
+
+def _by_rescoring(base: DataFrame, scorer: Scorer, key: str, neutrals: Neutrals) -> DataFrame:
+    """For any other scorer: one row per change, scored in one pass and regrouped."""
     cases = F.explode(F.array(*(F.lit(f) for f in neutrals))).alias("factor")
     rows = base.withColumnRenamed(SCORE, "base_score").select("*", cases)
     types = dict(base.dtypes)
     inputs: dict[str, Column] = {}
     for factor, (name, neutral) in neutrals.items():
         other = inputs.get(name, F.col(name))
-        inputs[name] = F.when(F.col("factor") == factor, F.lit(neutral).cast(types[name])).otherwise(other)
-    changed = scorer.score(rederive(rows.withColumns(inputs)))
-    delta = F.col("base_score") - F.col(SCORE)
-    effects = (
-        changed.select(key, "factor", delta.alias("delta"))
-        .filter(F.abs("delta") > min_delta)
-        .withColumn("weight", -F.abs("delta"))
-    )
-    # A list holds at most one element per factor.
-    ordered = F.sort_array(F.collect_list(F.struct("weight", "factor", "delta")))
-    ranked = effects.groupBy(key).agg(F.slice(ordered, 1, cap).alias("effects"))
-    return ranked.select(key, F.posexplode("effects").alias("at", "effect")).select(
-        key,
-        (F.col("at") + 1).alias("rank"),
-        F.col("effect.factor").alias("factor"),
-        F.round("effect.delta", 4).alias("delta"),
-        _direction(F.col("effect.delta")).alias("direction"),
-    )
+        changed = F.lit(neutral).cast(types[name])
+        inputs[name] = F.when(F.col("factor") == factor, changed).otherwise(other)
+    rescored = scorer.score(rederive(rows.withColumns(inputs)))
+    effect = _effect(F.col("factor"), F.col("base_score") - F.col(SCORE))
+    # A list holds one element per factor.
+    return rescored.groupBy(key).agg(F.collect_list(effect).alias("effects"))

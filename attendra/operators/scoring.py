@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Protocol, runtime_checkable
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -24,21 +24,32 @@ SCORE = "risk_score"
 SCORE_DIGITS = 4
 
 
-class Scorer(Protocol):
-    def score(self, df: DataFrame) -> DataFrame: ...
+# Input -> (other input, cut): 1 where the other one lies below the cut. Such an
+# input must follow when the other one changes.
+DERIVED = {"was_chronic_last_year": ("attendance_rate_t_minus_1", config.CHRONIC_RATE)}
+
+# Factor -> (input, neutral value).
+Neutrals = Mapping[str, tuple[str, float]]
+
 
+class Scorer(Protocol):
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``risk_score``."""
 
-def chronic_flag(rate: Column) -> Column:
-    return flag(rate < config.CHRONIC_RATE)
 
+@runtime_checkable
+class RowScorer(Scorer, Protocol):
+    """A scorer that can also rescore a row under changes, within that row."""
 
-# Inputs that follow from another input, and must follow it when that changes.
-DERIVED = {"was_chronic_last_year": ("attendance_rate_t_minus_1", chronic_flag)}
+    def counterfactuals(self, neutrals: Neutrals) -> Column:
+        """Array of the scores with each input in turn at its neutral value."""
 
 
 def rederive(df: DataFrame) -> DataFrame:
     """Recompute the derived inputs from the row's current values."""
-    return df.withColumns({name: rule(F.col(source)) for name, (source, rule) in DERIVED.items()})
+    return df.withColumns(
+        {name: flag(F.col(source) < cut) for name, (source, cut) in DERIVED.items()}
+    )
 
 
 @dataclass(frozen=True)
@@ -55,8 +66,8 @@ class LogisticScorer:
         def value(name: str) -> Column:
             if name in replaced:
                 return replaced[name]
-            source, rule = DERIVED.get(name, (None, None))
-            return rule(value(source)) if source in replaced else F.col(name)
+            source, cut = DERIVED.get(name, (None, None))
+            return flag(value(source) < cut) if source in replaced else F.col(name)
 
         total = F.lit(float(self.intercept))
         for name, weight in self.weights.items():
@@ -66,6 +77,10 @@ class LogisticScorer:
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn(SCORE, self.expression())
 
+    def counterfactuals(self, neutrals: Neutrals) -> Column:
+        changes = neutrals.values()
+        return F.array(*(self.expression({name: F.lit(neutral)}) for name, neutral in changes))
+
 
 @dataclass(frozen=True)
 class SparkModelScorer:
@@ -103,6 +118,29 @@ class PandasScorer:
         chance = predict.asNondeterministic()(F.struct(*self.inputs))
         return df.withColumn(SCORE, F.round(chance, SCORE_DIGITS))
 
+    def counterfactuals(self, neutrals: Neutrals) -> Column:
+        """Every row crosses to Python once; the changes are made there."""
+        load, inputs, derived = self.load, list(self.inputs), dict(DERIVED)
+        changes = list(neutrals.values())
+
+        @F.pandas_udf("array<double>")
+        def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            model = load()
+            for batch in batches:
+                scores = []
+                for name, neutral in changes:
+                    changed = batch.copy()
+                    if name in inputs:
+                        changed[name] = neutral
+                    for follower, (source, cut) in derived.items():
+                        if source == name and follower in inputs:
+                            changed[follower] = int(neutral < cut)
+                    scores.append(pd.Series(model(changed), dtype="float64"))
+                yield pd.Series(pd.concat(scores, axis=1).to_numpy().tolist())
+
+        chances = predict.asNondeterministic()(F.struct(*inputs))
+        return F.transform(chances, lambda chance: F.round(chance, SCORE_DIGITS))
+
 
 def score(df: DataFrame, scorer: Scorer) -> DataFrame:
     return scorer.score(df)

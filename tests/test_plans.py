@@ -163,6 +163,13 @@ def test_scorers_agree(domain):
     assert inline == pytest.approx(outside)
 
 
+class ScoreOnly:
+    """A scorer without counterfactuals of its own."""
+
+    def score(self, df):
+        return SCORER.score(df)
+
+
 def test_python_model_runs_once_per_row_despite_a_filter(domain):
     rows = R.scoped_features(domain, 2025, COHORT)
     kept = pandas_twin().score(rows).filter("risk_score >= 0.4").filter("risk_score < 0.9")
@@ -186,9 +193,11 @@ def test_profiles_are_completed_scored_and_tiered(spark):
 
 def test_contributions_rederive_the_chronic_flag_and_agree_between_scorers(domain):
     rows = R.scoped_features(domain, 2025, COHORT)
-    inline = contributions(rows, SCORER).orderBy("student_key", "rank").collect()
-    outside = contributions(rows, pandas_twin()).orderBy("student_key", "rank").collect()
-    assert inline == outside
+    inline, outside, rescored = (
+        contributions(rows, s).orderBy("student_key", "rank").collect()
+        for s in (SCORER, pandas_twin(), ScoreOnly())
+    )
+    assert inline == outside == rescored
     first = next(r for r in inline if r.student_key == "s1")
     assert first.factor == "Prior Year Attendance Rate" and first.direction == "risk"
     # From rate 0.8 and the flag to 0.95 without it: both effects count.

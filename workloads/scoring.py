@@ -158,13 +158,26 @@ def explained(t):
     return contributions(atrisk, standin.SCORER)
 
 
-@query("ml4_contributions_rescored", contributions_sql())
-def explained_rescored(t):
+@query("ml4_contributions_pandas", contributions_sql())
+def explained_pandas(t):
     scorer = pandas_scorer()
     atrisk = flagged(score(features(t), scorer), config.RISK_THRESHOLD)
     return contributions(atrisk, scorer)
 
 
+class ScoreOnly:
+    """A scorer without counterfactuals of its own."""
+
+    def score(self, df):
+        return standin.SCORER.score(df)
+
+
+@query("ml4_contributions_rescored", contributions_sql())
+def explained_rescored(t):
+    atrisk = flagged(score(features(t), standin.SCORER), config.RISK_THRESHOLD)
+    return contributions(atrisk, ScoreOnly())
+
+
 @query(
     "ml5_sweep",
     f"""WITH {standin.SCORED_SQL}
