@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from attendra import config
 from attendra.operators.aggregates import first_per, latest_period
-from attendra.operators.filters import with_history
-from attendra.operators.joins import join_on, lookup, lookup_unique
+from attendra.operators.filters import in_period, with_history
+from attendra.operators.joins import lookup, lookup_unique
 from attendra.operators.sampling import sample_per, sample_top
 from attendra.plans.features import STUDENT, YEAR, attendance_years, feature_rows, student_history
 
@@ -36,17 +36,17 @@ def training_set(
 def latest_with_school(rows: DataFrame, enrollment: DataFrame, school: DataFrame) -> DataFrame:
     """Rows of the most recent year with the student's school code of that year.
 
-    The year stays inside the plan as a one-row side instead of a fetched value.
-    ``rows`` is read more than once, so it should be a stored table.
+    The year is fetched, one value, so that it prunes both scans. ``rows`` is
+    read twice for that, so it should be a stored table.
     """
-    latest = latest_period(rows, YEAR)
-    current = enrollment.join(latest, YEAR, "left_semi")
+    latest = latest_period(rows, YEAR).first()[YEAR]
+    current = in_period(enrollment, YEAR, latest)
     schools = lookup_unique(
         first_per(current, STUDENT, ["school_key"], ["school_key"]),
         school.select("school_key", "school_code"),
         "school_key",
     ).drop("school_key")
-    return rows.join(latest, YEAR, "left_semi").join(schools, STUDENT, "left")
+    return in_period(rows, YEAR, latest).join(schools, STUDENT, "left")
 
 
 def school_sample(
