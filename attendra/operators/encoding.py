@@ -53,11 +53,15 @@ def encode(
             F.count(F.lit(1)).alias("labels"),
             F.max(F.when(F.col("label") == fallback, F.col("code"))).alias("known"),
             F.max("code").alias("last"),
+            F.sum(F.octet_length("label")).alias("size"),
         )
         .collect()
     }
     # One row per feature was fetched; it also proves the size of the vocabulary.
-    small = sum(row["labels"] for row in summary.values()) <= config.BROADCAST_ROWS
+    small = (
+        sum(row["labels"] for row in summary.values()) <= config.BROADCAST_ROWS
+        and sum(row["size"] or 0 for row in summary.values()) <= config.BROADCAST_BYTES
+    )
     for c in columns:
         row = summary.get(c)
         if row is None:

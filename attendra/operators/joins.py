@@ -1,7 +1,7 @@
 """Joins: scope, lookup, assembly and lagged periods.
 
 Sides whose size depends on data carry no hint: Spark's own size check and AQE
-choose. A hint is given only behind a row count (``broadcast_if_small``).
+choose. A hint is given only behind a measured size (``broadcast_if_small``).
 """
 
 from __future__ import annotations
@@ -23,17 +23,32 @@ def names(keys: Keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def is_small(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(
+    df: DataFrame, rows: int = config.BROADCAST_ROWS, size: int = config.BROADCAST_BYTES
+) -> bool:
+    """Whether ``df`` keeps within both limits; reads no further than ``rows``.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows, else unchanged.
+    Text counts with its length, anything else with eight bytes.
+    """
+    width = F.lit(0)
+    for column, kind in df.dtypes:
+        text = F.coalesce(F.octet_length(F.col(column)), F.lit(0))
+        width = width + (text if kind == "string" else F.lit(8))
+    found = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")
+    )
+    measured = found.first()
+    return measured["rows"] <= rows and measured["size"] <= size
+
+
+def broadcast_if_small(
+    df: DataFrame, rows: int = config.BROADCAST_ROWS, size: int = config.BROADCAST_BYTES
+) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows, else unchanged.
 
     Costs one job on ``df``, so it is for sides far smaller than the other one.
     """
-    return F.broadcast(df) if is_small(df, rows) else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def cohort_members(

@@ -47,14 +47,15 @@ def scoped_features(
 ) -> DataFrame:
     """Feature rows of ``year`` for the students in scope.
 
-    The scope is stored once. If its counted size allows a broadcast, every
+    The scope is stored once. If its measured size allows a broadcast, every
     student table is reduced to its students while being scanned; otherwise
     facts are rolled up first and meet the scope in a shuffled join, so that a
     student with very many rows never lands in one task unaggregated.
     """
     within = materialize(students_in_scope(tables, year, cohort), "scope")
-    if is_small(within):
-        keys = F.broadcast(within.select(STUDENT))
+    keys = within.select(STUDENT)
+    if is_small(keys):
+        keys = F.broadcast(keys)
         tables = {
             name: df.join(keys, STUDENT, "left_semi") if STUDENT in df.columns else df
             for name, df in tables.items()

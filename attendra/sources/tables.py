@@ -38,19 +38,14 @@ def load_tables(
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Headered CSV with a declared schema.
+    """The columns of ``schema`` from headered CSV, found by name.
 
-    Codes stay text (leading zeros survive) and only an empty field is null, so
-    a label such as ``N/A`` remains a label.
+    Nothing is inferred: codes declared as strings keep their leading zeros,
+    and only an empty field is null, so a label such as ``N/A`` remains a label.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("nullValue", "")
-        .option("escape", '"')
-        .csv(path)
-    )
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = spark.read.option("header", True).option("nullValue", "").option("escape", '"').csv(path)
+    return text.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted))
 
 
 def export_csv(

@@ -96,9 +96,13 @@ def test_join_prior_needs_the_exact_period(spark):
     assert rows(J.join_prior(left, right, "e", "p")) == [("a", 2022, 7), ("a", 2024, None)]
 
 
-def test_broadcast_only_below_the_counted_size(spark):
+def test_broadcast_only_below_the_measured_size(spark):
     df = spark.range(100)
     assert J.is_small(df, 100) and not J.is_small(df, 99)
+    assert J.is_small(df, 100, 800) and not J.is_small(df, 100, 799)
+    wide = df.select(F.repeat(F.lit("x"), 50).alias("t"))
+    assert J.is_small(wide, 100, 5000) and not J.is_small(wide, 100, 4999)
+    assert J.is_small(df.limit(0))
     big = spark.range(1000).withColumnRenamed("id", "x")
     assert isin_set(big, "x", df).count() == 100
     hinted = J.broadcast_if_small(df, 99)

@@ -20,6 +20,14 @@ def test_csv_keeps_codes_labels_and_nulls(spark, tmp_path):
     assert [r.code for r in back.collect()] == ["007", "010", "1"]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "schools.csv"
+    path.write_text("SCHOOL_CODE,EXTRA,NETWORK,SCHOOL_NAME\n0042,x,Network 1,Elm\n0043,,,\n")
+    got = S.read_csv(spark, str(path), "school_name string, school_code string, network string")
+    assert got.columns == ["school_name", "school_code", "network"]
+    assert [tuple(r) for r in got.collect()] == [("Elm", "0042", "Network 1"), (None, "0043", None)]
+
+
 def test_parquet_export_partitions_and_replaces(spark, tmp_path):
     path = str(tmp_path / "out")
     for n in (4, 3):
