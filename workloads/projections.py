@@ -6,6 +6,8 @@ from attendra import config
 from attendra.functions import columns as C
 from attendra.operators.aggregates import scorecard
 from attendra.operators.filling import fill_features, with_defaults
+from attendra.operators.joins import assemble
+from attendra.plans import features
 from attendra.plans.features import attendance_years
 from attendra.plans.risk_report import report_columns
 from workloads import standin
@@ -105,29 +107,33 @@ def need_bands(t):
 
 @query(
     "prj8_report_columns",
-    f"""WITH {standin.STUDENT_SQL}
-    SELECT student_key, 'none' AS governance, 'none' AS school_name,
-        student_current_grade_code AS grade, student_gender AS gender, student_race AS race,
-        CAST(0.5 AS DOUBLE) AS risk_score, 'Elevated Risk' AS risk_tier,
-        CAST(0.95 AS DOUBLE) AS prior_yr_attendance, student_homeless_indicator AS homeless,
-        0 AS medicaid, student_special_ed_indicator AS sped, CAST(0 AS BIGINT) AS chronic_condition_count
-    FROM student""",
+    f"""WITH {standin.SCORED_SQL}, {standin.MEDICAL_SQL}, {standin.MEDICAID_SQL}
+    SELECT student_id AS student_key, governance, school_name, scored.grade, scored.gender, scored.race,
+        risk_score,
+        CASE WHEN risk_score <= 0.4 THEN 'Low Risk' WHEN risk_score <= 0.6 THEN 'Elevated Risk'
+             WHEN risk_score > 0.6 THEN 'High Risk' END AS risk_tier,
+        round(prior_yr_attendance, 6) AS prior_yr_attendance,
+        student_homeless_indicator AS homeless, medicaid_indicator AS medicaid,
+        student_special_ed_indicator AS sped, chronic_condition_count
+    FROM scored JOIN student ON student.student_key = student_id
+    LEFT JOIN medical ON medical.student_key = student_id
+    LEFT JOIN medicaid ON medicaid.student_key = student_id""",
 )
 def slim_report(t):
-    people = standin.student(t).withColumns(
-        {
-            "governance": F.lit("none"),
-            "school_name": F.lit("none"),
-            "risk_score": F.lit(0.5),
-            "risk_tier": C.tier(F.lit(0.5)),
-            "attendance_rate_t_minus_1": F.lit(0.95),
-            "student_homeless_indicator": C.yes_flag("student_homeless_indicator"),
-            "student_special_ed_indicator": C.yes_flag("student_special_ed_indicator"),
-            "medicaid_indicator": F.lit(0),
-            "chronic_condition_count": F.lit(0).cast("bigint"),
-        }
+    scored = standin.scored(t).select(
+        F.col("student_id").alias("student_key"),
+        "governance",
+        "school_name",
+        "risk_score",
+        C.tier("risk_score").alias("risk_tier"),
+        F.round("prior_yr_attendance", 6).alias("attendance_rate_t_minus_1"),
     )
-    return report_columns(people)
+    frames = [
+        features.demographics(standin.student(t)),
+        features.medical(standin.student_condition(t), standin.condition(t), standin.PATTERNS),
+        features.medicaid(standin.medicaid(t)),
+    ]
+    return report_columns(assemble(scored, frames, "student_key"))
 
 
 # Only customers with an urgent order have values; the rest are nulls to fill.

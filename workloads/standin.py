@@ -118,15 +118,12 @@ years AS (
 
 
 def enrollment(t: Tables, lines: DataFrame | None = None) -> DataFrame:
-    return (
-        (days(t) if lines is None else lines)
-        .select(
-            F.col("o_custkey").alias("student_key"),
-            fiscal_year("o_orderdate").alias("school_year"),
-            F.col("l_suppkey").alias("school_key"),
-            F.when(F.col("l_linenumber") == 1, "PRIMARY").otherwise("SECONDARY").alias("enrollment_type"),
-        )
-        .distinct()
+    """One row per order line: what reads enrollment is indifferent to repeats."""
+    return (days(t) if lines is None else lines).select(
+        F.col("o_custkey").alias("student_key"),
+        fiscal_year("o_orderdate").alias("school_year"),
+        F.col("l_suppkey").alias("school_key"),
+        F.when(F.col("l_linenumber") == 1, "PRIMARY").otherwise("SECONDARY").alias("enrollment_type"),
     )
 
 
