@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,19 @@ class Tables:
         return table
 
 
+@lru_cache(maxsize=4)
+def opened(spark: SparkSession, folder: str) -> Tables:
+    """Tables are opened once per session; this reads their schemas, no rows."""
+    return Tables(spark, folder)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``build(tables) -> DataFrame`` and the SQL for the same rows."""
 
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(opened(spark, folder))
         if sql is not None:
             SQL[name] = sql
         return build
