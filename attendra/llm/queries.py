@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attendra.llm import byte_bpe, compression_score, quality_rules, token_records, toxicity
+from attendra.llm import (
+    byte_bpe,
+    compression_score,
+    decontaminate,
+    main_text,
+    quality_rules,
+    site_lines,
+    token_records,
+    tool_calls,
+    toxicity,
+)
 from attendra.llm.common import fold_of, table
 from attendra.sources.storage import new_path
 
@@ -64,3 +74,63 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(documents, labels, ~held_out)
     scored = toxicity.score(documents, model, least=0.5)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op3_site_lines", site_lines.SQL_TEXT)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    cleaned = site_lines.remove_spread(documents.select("doc_id", "source", "text"), removed="n_removed")
+    return cleaned.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), "text")
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return main_text.extract(pages, main_text.learn(pages))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: The one tool of the conversations: a user's turn asks for a reply.
+REPLY_SCHEMA = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
+
+OP9_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, min(text) AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+calls AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS after_id, turn, text
+  FROM turns WHERE role = 'user'),
+results AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text FROM turns WHERE role = 'assistant'),
+placed AS (
+  SELECT call_id, CAST(0 AS BIGINT) AS place FROM calls WHERE after_id NOT IN (SELECT call_id FROM calls)
+  UNION ALL
+  SELECT c.call_id, p.place + 1 FROM calls c JOIN placed p ON c.after_id = p.call_id)
+SELECT c.conv_id, coalesce(c.call_id, r.call_id) AS call_id, p.place, r.call_id IS NOT NULL AS linked,
+       c.call_id IS NOT NULL AND c.text IS NOT NULL AS valid,
+       CASE WHEN c.call_id IS NULL THEN 'no call' WHEN c.text IS NULL THEN 'missing field prompt' END AS error,
+       '{"arguments":' || CASE WHEN c.call_id IS NULL THEN 'null'
+         ELSE '{"prompt":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || ',"turn":' || c.turn || '}' END
+       || ',"call_id":"' || coalesce(c.call_id, r.call_id) || '","name":'
+       || CASE WHEN c.call_id IS NULL THEN 'null' ELSE '"reply"' END
+       || ',"result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS json
+FROM calls c FULL JOIN results r ON c.call_id = r.call_id LEFT JOIN placed p ON p.call_id = c.call_id
+"""
+
+
+@query("op9_tool_calls", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user turn calls for a reply, using the one before it; the assistant's turn is the result."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").dropna(subset=["conv_id", "turn"])
+    named = lambda back: F.concat_ws(":", "conv_id", (F.col("turn") - back).cast("string"))
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"), {"ignoreNullFields": "false"})
+    calls = turns.where("role = 'user'").select(
+        "conv_id", named(0).alias("call_id"), named(2).alias("after_id"), F.lit("reply").alias("name"), arguments.alias("arguments")
+    )
+    results = turns.where("role = 'assistant'").select(named(1).alias("call_id"), F.col("text").alias("content"))
+    schema = spark.createDataFrame(REPLY_SCHEMA, "name string, field string, kind string, required boolean")
+    return tool_calls.link(calls, results, schema)
