@@ -12,6 +12,7 @@ from attendra.llm import (
     byte_bpe,
     compression_score,
     decontaminate,
+    jaccard_join,
     main_text,
     quality_rules,
     site_lines,
@@ -134,3 +135,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select(named(1).alias("call_id"), F.col("text").alias("content"))
     schema = spark.createDataFrame(REPLY_SCHEMA, "name string, field string, kind string, required boolean")
     return tool_calls.link(calls, results, schema)
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.group(table(spark, folder, "documents"))
