@@ -27,9 +27,14 @@ def ship(context: SparkContext) -> None:
     context.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What the Python stages need of a session."""
     ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -61,3 +66,12 @@ def labelled_sample(
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     ids = chosen.where(place < int(share * 1_000_000)) if share < 1 else chosen
     return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes the files of a table made by ``materialize`` that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        spark = stored.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

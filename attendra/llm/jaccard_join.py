@@ -31,24 +31,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attendra.llm.common import discard
 from attendra.llm.graph import components
 from attendra.sources.storage import materialize
 
 WORDS = 5
 #: Two sets link at 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BITS = 2048
+#: Bits per token of a bitmap, at least, and its least width. Sets that can link
+#: have widths that differ by a factor of two at most.
+BITS_PER_TOKEN = 4
+LEAST_BITS = 2048
 #: Shingles counted at once when frequent ones are sought, and how often one
 #: must occur there. Frequent shingles only change the order, never the result.
-COUNT_AT_ONCE = 4_000_000
-OFTEN = 8
-MOST_FREQUENT = 200_000
+COUNT_AT_ONCE = 8_000_000
+OFTEN = 3
+MOST_FREQUENT = 400_000
 TREE_ROWS = 1024
 FANOUT = 8
 FIRST_PAIRS = 8
+#: Ids of nodes to verify that may be broadcast (24 bytes each).
+BROADCAST_IDS = 500_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -98,31 +104,35 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
             yield counted()
 
     counts = documents.select("text").mapInPandas(count, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
-    rows = counts.orderBy(F.desc("times"), "h").limit(MOST_FREQUENT).collect()
-    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("times"), "h").limit(MOST_FREQUENT).toPandas()
+    return rows["h"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
-def leading(found: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
+def leading(found: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """The first elements of a set, one of which any linking set has in front too.
 
+    Rare ones come first; their number is returned with them.
     ``frequent`` is sorted by hash, ``order`` holds its places by frequency.
     """
     n = len(found)
     size = n - -(-PERCENT * n // 100) + 1 if n else 0
     if not len(frequent):
-        return found[:size]
+        return found[:size], size
     at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
     common = frequent[at] == found
     rare = found[~common]
     if len(rare) >= size:
-        return rare[:size]
+        return rare[:size], size
     late = found[common][np.argsort(order[at[common]], kind="stable")]
-    return np.concatenate([rare, late])[:size]
+    return np.concatenate([rare, late])[:size], len(rare)
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[found & np.uint64(BITS - 1)] = True
+    width = LEAST_BITS
+    while width < BITS_PER_TOKEN * len(found):
+        width *= 2
+    bits = np.zeros(width, bool)
+    bits[found & np.uint64(width - 1)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -142,154 +152,190 @@ def described(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 found = shingles(text)
-                rows.append((len(found), *keys(found), leading(found, frequent, order).view(np.int64), bitmap(found)))
-            frame = pd.DataFrame(rows, columns=["n", "k1", "k2", "front", "bits"])
+                front, rare = leading(found, frequent, order)
+                rows.append((len(found), *keys(found), front.view(np.int64), rare, bitmap(found)))
+            frame = pd.DataFrame(rows, columns=["n", "k1", "k2", "front", "rare", "bits"])
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), frame], axis=1)
 
     return documents.select("doc_id", "text").mapInPandas(
-        build, f"doc_id {kind}, n long, k1 long, k2 long, front array<long>, bits binary"
+        build, f"doc_id {kind}, n long, k1 long, k2 long, front array<long>, rare int, bits binary"
     )
 
 
 def full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, set`` of the nodes in ``ids`` (``id, k1, k2``)."""
+    """``id, set`` of the nodes in ``ids`` (``id, k1, k2``), made anew from their texts.
+
+    The ids are broadcast only where counted to be few; texts then stay in place.
+    """
     kind = dict(documents.dtypes)["doc_id"]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingles(t) for t in batch["text"]]
-            both = [keys(f) for f in found]
-            yield pd.DataFrame(
-                {"id": batch["doc_id"], "k1": [k[0] for k in both], "k2": [k[1] for k in both], "set": [f.tobytes() for f in found]}
-            )
+            same = [keys(f) == k for f, k in zip(found, zip(batch["k1"], batch["k2"]))]
+            yield pd.DataFrame({"id": batch["doc_id"], "set": [f.tobytes() for f in found]})[same]
+
+    wanted = ids.withColumnRenamed("id", "doc_id")
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+    return documents.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(build, f"id {kind}, set binary")
+
+
+def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave room for a link."""
+    kind = dict(nodes.dtypes)["id"]
+    side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            width = np.minimum(batch["bitsa"].map(len), batch["bitsb"].map(len)).to_numpy()
+            for one_width in np.unique(width):
+                part = batch[width == one_width]
+                one, other = (leaves(part[f"bits{c}"], part[f"n{c}"], part[c], one_width) for c in "ab")
+                keep, _ = surviving(one, other)
+                yield part.loc[keep, ["a", "b"]]
 
-    wanted = documents.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    made = wanted.mapInPandas(build, f"id {kind}, k1 long, k2 long, set binary")
-    return made.join(ids, ["id", "k1", "k2"], "left_semi").select("id", "set").dropDuplicates(["id"])
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return met.where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").mapInPandas(check, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (``a, b``) that link, by their full sets."""
-    size = nodes.select("id", "n")
-    sized = (
-        pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        .where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    )
-    sized = materialize(sized.select("a", "b"), "pairs")
-    ids = sized.select(F.col("a").alias("id")).unionByName(sized.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(full_sets(documents, nodes.select("id", "k1", "k2").join(ids, "id", "left_semi")), "sets")
+    kind = dict(nodes.dtypes)["id"]
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(nodes.select("id", "k1", "k2").join(ids, "id", "left_semi"), "set-ids")
+    sets = materialize(full_sets(documents, wanted), "sets")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             links = []
             for one, other in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 links.append(100 * shared >= PERCENT * (len(both) - shared))
             yield batch.loc[links, ["a", "b"]]
 
-    kind = dict(sized.dtypes)["a"]
-    with_sets = sized.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
+    with_sets = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"
     )
     return materialize(with_sets.select("a", "b", "set_a", "set_b").mapInPandas(check, f"a {kind}, b {kind}"), "links")
 
 
-class Tree:
-    """Levels of nodes over members sorted by cluster and size; level 0 are the members."""
-
-    def __init__(self, bits: np.ndarray, n: np.ndarray, cluster: np.ndarray):
-        excess = n - np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.levels = [(bits, n, n, excess, cluster, cluster)]
-        while len(self.levels[-1][0]) > 1:
-            bits, low, high, excess, c_low, c_high = self.levels[-1]
-            cuts = np.arange(0, len(low), FANOUT)
-            self.levels.append(
-                (
-                    np.bitwise_or.reduceat(bits, cuts, axis=0),
-                    np.minimum.reduceat(low, cuts),
-                    np.maximum.reduceat(high, cuts),
-                    np.maximum.reduceat(excess, cuts),
-                    np.minimum.reduceat(c_low, cuts),
-                    np.maximum.reduceat(c_high, cuts),
-                )
-            )
+#: Of every node: bitmap, least and largest size, largest excess of tokens over
+#: bits, least and largest cluster.
+Level = tuple[np.ndarray, ...]
+
+
+def leaves(bits, n, cluster, width: int) -> Level:
+    """Members with their bitmaps folded to ``width`` bytes."""
+    bits = list(bits)
+    rows = np.empty((len(bits), width // 8), np.uint64)
+    for at, one in enumerate(bits):
+        row = np.frombuffer(one, np.uint64)
+        while len(row) > width // 8:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows[at] = row
+    n, cluster = np.asarray(n, np.int64), np.asarray(cluster, np.int64)
+    excess = n - np.bitwise_count(rows).sum(1).astype(np.int64)
+    return rows, n, n, excess, cluster, cluster
+
 
+def grown(members: Level) -> list[Level]:
+    """Levels of a tree over members sorted by cluster and size; level 0 are the members."""
+    levels = [members]
+    how = np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum
+    while len(levels[-1][1]) > 1:
+        cuts = np.arange(0, len(levels[-1][1]), FANOUT)
+        levels.append(tuple(f.reduceat(v, cuts, axis=0) for f, v in zip(how, levels[-1])))
+    return levels
 
-def surviving(one: Tree, other: Tree, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def surviving(one: Level, other: Level) -> tuple[np.ndarray, np.ndarray]:
     """Of node pairs, whether they may hold a link, and the largest overlap possible.
 
     Shared tokens fall on shared bits; a bit holds more than one token of a set
     only as often as that set has more tokens than bits.
     """
-    bits_a, low_a, high_a, excess_a, c_low_a, c_high_a = (v[x] for v in one.levels[level])
-    bits_b, low_b, high_b, excess_b, c_low_b, c_high_b = (v[y] for v in other.levels[level])
+    bits_a, low_a, high_a, excess_a, c_low_a, c_high_a = one
+    bits_b, low_b, high_b, excess_b, c_low_b, c_high_b = other
     overlap = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64) + np.minimum(excess_a, excess_b)
     fits = (100 * high_a >= PERCENT * low_b) & (100 * high_b >= PERCENT * low_a)
     apart = (c_low_a != c_high_a) | (c_low_b != c_high_b) | (c_low_a != c_low_b)
     return fits & apart & (overlap >= needed(low_a + low_b)), overlap
 
 
-def dual_traversal(one: Tree, other: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_traversal(one: list[Level], other: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members of ``one`` and ``other`` that may link, with their largest overlap."""
     same = one is other
-    top = max(len(one.levels), len(other.levels)) - 1
-    for tree in (one, other):  # trees of one height: the lower root stands for itself
-        while len(tree.levels) <= top:
-            tree.levels.append(tree.levels[-1])
+    top = max(len(one), len(other)) - 1
     x = y = np.zeros(1, np.int64)
     overlap = np.zeros(1, np.int64)
     for level in range(top, -1, -1):
+        at = [min(level, len(tree) - 1) for tree in (one, other)]
         if level < top:
-            x, y = children(one, level, x), children(other, level, y)
-            x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in products(x, y))
+            x, y = expanded(x, y, *(tree[k] if k == level else None for tree, k in zip((one, other), at)))
             if same:
                 x, y = x[x <= y], y[x <= y]
-        keep, overlap = surviving(one, other, level, x, y)
+        keep, overlap = surviving(tuple(v[x] for v in one[at[0]]), tuple(v[y] for v in other[at[1]]))
         if same and level == 0:
             keep &= x != y
         x, y, overlap = x[keep], y[keep], overlap[keep]
+        if not len(x):
+            break
     return x, y, overlap
 
 
-def children(tree: Tree, level: int, nodes: np.ndarray) -> list[np.ndarray]:
-    if tree.levels[level] is tree.levels[level + 1]:
-        return [np.array([v]) for v in nodes]
-    count = len(tree.levels[level][1])
-    return [np.arange(v * FANOUT, min(count, (v + 1) * FANOUT)) for v in nodes]
-
-
-def products(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.repeat(a, len(b)) for a, b in zip(x, y)], [np.tile(b, len(a)) for a, b in zip(x, y)]
-
-
-def tree_pairs(rows: pd.DataFrame, best: int | None) -> pd.DataFrame:
-    """Candidate pairs of one tree (or of two blocks of one)."""
-    rows = rows.sort_values(["cluster", "n", "id"], kind="stable")
-
-    def tree(part: pd.DataFrame) -> Tree:
-        bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), BITS // 64)
-        return Tree(bits, part["n"].to_numpy(np.int64), part["cluster"].to_numpy(np.int64))
-
-    i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-    left = rows[rows["block"] == i]
-    right = left if i == j else rows[rows["block"] == j]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-    one = tree(left)
-    x, y, overlap = dual_traversal(one, one if i == j else tree(right))
-    ids = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-    out = pd.DataFrame({"a": np.minimum(*ids), "b": np.maximum(*ids)})
-    if best is not None and len(out):
-        of = left["cluster"].to_numpy()[x], right["cluster"].to_numpy()[y]
-        ratio = overlap / (left["n"].to_numpy()[x] + right["n"].to_numpy()[y])
-        ranked = out.assign(c=np.minimum(*of), d=np.maximum(*of), ratio=ratio)
-        ranked = ranked.sort_values(["ratio", "a", "b"], ascending=[False, True, True], kind="stable")
-        out = ranked.groupby(["c", "d"], sort=False).head(best)[["a", "b"]]
-    return out
+def expanded(x: np.ndarray, y: np.ndarray, one: Level | None, other: Level | None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children; None keeps the node of a tree that is lower."""
+    step = np.arange(FANOUT)
+    a = x[:, None] if one is None else x[:, None] * FANOUT + step
+    b = y[:, None] if other is None else y[:, None] * FANOUT + step
+    shape = len(x), a.shape[1], b.shape[1]
+    a, b = np.broadcast_to(a[:, :, None], shape).ravel(), np.broadcast_to(b[:, None, :], shape).ravel()
+    real = np.ones(len(a), bool)
+    if one is not None:
+        real &= a < len(one[1])
+    if other is not None:
+        real &= b < len(other[1])
+    return a[real], b[real]
+
+
+def tree_pairs(
+    ids: np.ndarray, bits: list[bytes], n: np.ndarray, cluster: np.ndarray, split: np.ndarray | None, best: int | None
+) -> tuple[np.ndarray, bool]:
+    """Candidate pairs of one tree, and whether more than ``best`` of two clusters were left out.
+
+    Members of one bitmap width form a tree; it meets itself and the next width's.
+    ``split`` marks the members of the second block where two blocks meet.
+    """
+    widths = np.array([len(b) for b in bits])
+    sides = [np.ones(len(ids), bool)] * 2 if split is None else [~split, split]
+    found = []
+    for width in np.unique(widths):
+        for one_width, other_width in ((width, width), (width, 2 * width), (2 * width, width)):
+            if split is None and one_width > other_width:
+                continue  # met the other way round
+            left, right = (np.flatnonzero(side & (widths == w)) for side, w in zip(sides, (one_width, other_width)))
+            if not len(left) or not len(right):
+                continue
+            one = grown(leaves([bits[k] for k in left], n[left], cluster[left], width))
+            same = split is None and one_width == other_width
+            other = one if same else grown(leaves([bits[k] for k in right], n[right], cluster[right], width))
+            x, y, overlap = dual_traversal(one, other)
+            found.append((left[x], right[y], overlap))
+    x, y, overlap = (np.concatenate(v) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    cut = False
+    if best is not None and len(x) > best:
+        c, d = np.minimum(cluster[x], cluster[y]), np.maximum(cluster[x], cluster[y])
+        order = np.lexsort((y, x, -overlap / (n[x] + n[y]), d, c))
+        x, y, c, d = x[order], y[order], c[order], d[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))
+        place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        cut = bool((place >= best).any())
+        x, y = x[place < best], y[place < best]
+    pairs = ids[np.column_stack([x, y])].reshape(-1, 2)
+    return np.sort(pairs, axis=1), cut
 
 
 def mixed_trees(shared: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -320,22 +366,38 @@ def candidates(mixed: DataFrame, nodes: DataFrame, best: int | None) -> DataFram
     placed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     met = placed.select("h", "id", "cluster", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
     met = met.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with")
-    rows = met.join(nodes.select("id", "n", "bits"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
+    order = "h", "i", "j", "cluster", "n", "id"
+    rows = met.join(nodes.select("id", "n", "bits"), "id").repartition("h", "i", "j").sortWithinPartitions(*order)
     kind = dict(nodes.dtypes)["id"]
 
+    def found(held: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """Candidates of the trees that are whole, and the rows of the one that may go on."""
+        key = held[["h", "i", "j"]].to_numpy(np.int64)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), *([len(held)] if last else [])]
+        ids, block = held["id"].to_numpy(np.int64), held["block"].to_numpy(np.int64)
+        bits, n, cluster = held["bits"].tolist(), held["n"].to_numpy(np.int64), held["cluster"].to_numpy(np.int64)
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            h, i, j = key[a]
+            pairs, cut = tree_pairs(
+                ids[a:b], bits[a:b], n[a:b], cluster[a:b], None if i == j else block[a:b] == j, best
+            )
+            more = pd.array([h if cut else None] * len(pairs), dtype="Int64")
+            out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "cut": more}) if len(pairs) else None)
+        none = pd.DataFrame({"a": pd.array([], "Int64"), "b": pd.array([], "Int64"), "cut": pd.array([], "Int64")})
+        return pd.concat([o for o in out if o is not None] or [none]), held.iloc[cuts[-1] :]
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = held[["h", "i", "j"]]
-            change = (key != key.shift()).any(axis=1).to_numpy().nonzero()[0]
-            for a, b in zip(change, change[1:]):  # all but the last are complete
-                yield tree_pairs(held.iloc[a:b], best)
-            held = held.iloc[change[-1] :]
+            done, held = found(held, False)
+            yield done
         if held is not None and len(held):
-            yield tree_pairs(held, best)
+            yield found(held, True)[0]
 
-    return rows.select("h", "i", "j", "id", "cluster", "block", "n", "bits").mapInPandas(build, f"a {kind}, b {kind}").distinct()
+    columns = "h", "i", "j", "id", "cluster", "block", "n", "bits"
+    return materialize(rows.select(*columns).mapInPandas(build, f"a {kind}, b {kind}, cut long"), "candidates")
 
 
 def merged(clusters: DataFrame, links: DataFrame) -> DataFrame:
@@ -350,31 +412,54 @@ def merged(clusters: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "clusters")
 
 
+def shared_fronts(nodes: DataFrame) -> DataFrame:
+    """``h, id, least``: leading shingles of at least two nodes, with the least of these.
+
+    A shingle not counted as frequent has a bounded share of the documents, so
+    its rows may meet in one window. Frequent ones are counted map-side and then
+    joined, where Spark splits a hot key.
+    """
+    fronts = nodes.select("id", "rare", F.posexplode("front").alias("pos", "h"))
+    alike = Window.partitionBy("h")
+    rare = (
+        fronts.where("pos < rare")
+        .select("h", "id", F.min("id").over(alike).alias("least"), F.max("id").over(alike).alias("most"))
+        .where("least <> most")
+        .drop("most")
+    )
+    common = fronts.where("pos >= rare").select("h", "id")
+    several = common.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    return rare.unionByName(common.join(several.drop("rows"), "h"))
+
+
 def group(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``documents``."""
-    every = materialize(described(documents, frequent_shingles(documents)), "described")
-    one_each = every.where("doc_id is not null and n > 0")
-    repeated = bool(one_each.groupBy("doc_id").count().where("count > 1").take(1))
-    if repeated:
-        least = one_each.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", "front", "bits")).alias("s"))
-        one_each = materialize(least.select("doc_id", "s.*"), "described-once")
-    same = one_each.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
-    nodes = materialize(
-        one_each.join(same.select(F.col("id").alias("doc_id"), F.lit(True).alias("first")), "doc_id").withColumnRenamed("doc_id", "id").drop("first"),
-        "nodes",
-    )
-    fronts = nodes.select("id", F.explode("front").alias("h"))
-    several = fronts.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("h", "least")
-    shared = materialize(fronts.join(several, "h"), "shared-shingles")
+    whole = materialize(described(documents, frequent_shingles(documents)), "described")
+    every = materialize(whole.select("doc_id", "n", "k1", "k2"), "set-keys")
+    one_each = whole.where("doc_id is not null and n > 0")
+    light = every.where("doc_id is not null and n > 0")
+    if light.groupBy("doc_id").count().where("count > 1").take(1):
+        least = one_each.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", "front", "rare", "bits")).alias("s"))
+        one_each = least.select("doc_id", "s.*")
+        light = light.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("s")).select("doc_id", "s.*")
+    same = materialize(light.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "distinct-sets")
+    nodes = materialize(one_each.withColumnRenamed("doc_id", "id").join(same.select("id"), "id"), "nodes")
+    discard(whole)
+    shared = materialize(shared_fronts(nodes), "shared-shingles")
     stars = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(stars, nodes, documents)
+    links = verified(materialize(promising(stars, nodes), "pairs"), nodes, documents)
     clusters = materialize(components(links).select("id", F.col("component").alias("cluster")), "clusters")
     shared = shared.select("h", "id")
     for best in (FIRST_PAIRS, None):
-        mixed = mixed_trees(shared, clusters)
-        pairs = candidates(mixed, nodes, best)
+        found = candidates(mixed_trees(shared, clusters), nodes, best)
+        pairs = found.select("a", "b").distinct()
         clusters = merged(clusters, verified(pairs, nodes, documents))
-    copies = one_each.select("doc_id", "k1", "k2").join(same, ["k1", "k2"]).select("doc_id", "id")
+        # Only trees of which pairs were put off can hold further links.
+        later = found.where("cut is not null").select(F.col("cut").alias("h")).distinct()
+        if best is None or not later.take(1):
+            break
+        shared = materialize(shared.join(later, "h", "left_semi"), "shared-shingles")
+    copies = light.select("doc_id", "k1", "k2").join(same, ["k1", "k2"]).select("doc_id", "id")
     placed = copies.join(clusters, "id", "left").select("doc_id", F.coalesce("cluster", "id").alias("component_id"))
     sizes = every.select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
