@@ -17,7 +17,7 @@ one with the fewest edits counts, then the first.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -216,11 +216,16 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` in which no item is found, with all their columns."""
     for items in benchmark_passes(benchmark):
+        documents = documents.where(~F.pandas_udf(holding(items), "boolean")("text"))
+    return documents
 
-        def holds(texts: pd.Series, items=items) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            hit[[r[0] for r in in_pieces(texts.tolist(), passages(items))]] = True
-            return pd.Series(hit)
 
-        documents = documents.where(~F.pandas_udf(holds, "boolean")("text"))
-    return documents
+def holding(items: tuple[tuple[int, str], ...]) -> Callable[[pd.Series], pd.Series]:
+    """Whether texts hold any of ``items``."""
+
+    def holds(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        hit[[r[0] for r in in_pieces(texts.tolist(), passages(items))]] = True
+        return pd.Series(hit)
+
+    return holds

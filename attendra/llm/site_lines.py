@@ -1,9 +1,9 @@
 """Removal of boilerplate lines that are spread over many sites, with SQL functions only.
 
 A line is text between line feeds without outer blanks; blank lines stay. Copies
-of one document would carry all their lines to many sites, so documents are
-first put into families (equal least MD5 of a line) and each family counts once,
-with its least site. A HyperLogLog sketch of the sites is built per line hash,
+of one document would carry all their lines to many sites, so the documents that
+hold a line are put into families (equal least MD5 of their other lines) and each
+family counts once, with its least site. A HyperLogLog sketch of the sites is built per line hash,
 partial sketches merging map-side; lines whose estimate is near the threshold
 get exact distinct counts. Lines on ``sites`` sites or more are removed from
 every document.
@@ -37,10 +37,12 @@ def line_hash(line: Column) -> Column:
 def sightings(documents: DataFrame) -> DataFrame:
     """``line, family, site``: the least site of each family of documents with the line."""
     shown = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
-    family = F.array_min(F.transform(shown, lambda x: F.md5(F.trim(x))))
-    rows = documents.where("source is not null").select(
-        F.col("source").alias("site"), F.xxhash64(family).alias("family"), F.explode(F.transform(shown, line_hash)).alias("line")
-    )
+    marks = F.array_sort(F.array_distinct(F.transform(shown, lambda x: F.md5(F.trim(x)))))
+    split = documents.where("source is not null").select(F.col("source").alias("site"), shown.alias("shown"), marks.alias("marks"))
+    each = split.select("site", "marks", F.explode("shown").alias("x"))
+    first, second = (F.coalesce(F.get("marks", F.lit(k)), F.lit("")) for k in (0, 1))
+    family = F.when(F.md5(F.trim("x")) == first, second).otherwise(first)
+    rows = each.select("site", F.xxhash64(family).alias("family"), line_hash(F.col("x")).alias("line"))
     return rows.groupBy("line", "family").agg(F.min("site").alias("site"))
 
 
@@ -99,9 +101,11 @@ WITH split AS (
                                      lambda x: x <> '') AS lines
   FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 seen AS (
-  SELECT line, family, min(source) AS site FROM (
-    SELECT unnest(lines) AS line, list_min(list_transform(lines, lambda x: md5(x))) AS family, source FROM split)
-  GROUP BY line, family),
+  SELECT line, CASE WHEN md5(line) = marks[1] THEN coalesce(marks[2], '') ELSE marks[1] END AS family,
+         min(source) AS site
+  FROM (SELECT unnest(lines) AS line, list_sort(list_distinct(list_transform(lines, lambda x: md5(x)))) AS marks,
+               source FROM split)
+  GROUP BY ALL),
 spread AS (
   SELECT list(line) AS gone FROM (
     SELECT line FROM seen GROUP BY line HAVING count(DISTINCT site) >= {SITES}))
