@@ -42,8 +42,9 @@ def encode(
     """Add ``<column>_index`` for each column.
 
     A label outside the vocabulary gets the code of ``fallback``; where the
-    vocabulary has no such label, the next free code. ``vocab`` is read once
-    per column and more, so it should be a file or a stored table.
+    vocabulary has no such label, the next free code. A column without labels in
+    the vocabulary and a label listed twice raise ``ValueError``. ``vocab`` is
+    read once per column and more, so it should be a file or a stored table.
     """
     used = vocab.filter(F.col("feature").isin(*columns))
     summary = {
@@ -51,23 +52,24 @@ def encode(
         for row in used.groupBy("feature")
         .agg(
             F.count(F.lit(1)).alias("labels"),
+            F.count_distinct("label").alias("distinct"),
             F.max(F.when(F.col("label") == fallback, F.col("code"))).alias("known"),
             F.max("code").alias("last"),
             F.sum(F.octet_length("label")).alias("size"),
         )
         .collect()
     }
-    # One row per feature was fetched; it also proves the size of the vocabulary.
-    small = (
-        sum(row["labels"] for row in summary.values()) <= config.BROADCAST_ROWS
-        and sum(row["size"] or 0 for row in summary.values()) <= config.BROADCAST_BYTES
-    )
+    missing = [c for c in columns if c not in summary]
+    if missing:
+        raise ValueError(f"no vocabulary for {', '.join(missing)}")
+    repeated = [c for c in columns if summary[c]["labels"] != summary[c]["distinct"]]
+    if repeated:
+        raise ValueError(f"labels listed twice or null for {', '.join(repeated)}")
     for c in columns:
-        row = summary.get(c)
-        if row is None:
-            unseen = 0
-        else:
-            unseen = row["last"] + 1 if row["known"] is None else row["known"]
+        row = summary[c]
+        # One row per feature was fetched; it also proves the size of each vocabulary.
+        small = row["labels"] <= config.BROADCAST_ROWS and row["size"] <= config.BROADCAST_BYTES
+        unseen = row["last"] + 1 if row["known"] is None else row["known"]
         codes = used.filter(F.col("feature") == c).select(
             F.col("label").alias(c), F.col("code").alias("_code")
         )

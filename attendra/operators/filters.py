@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attendra.functions.columns import col, in_fiscal_year
-from attendra.operators.joins import broadcast_if_small
 
 
 def of_type(df: DataFrame, column: str, value) -> DataFrame:
@@ -45,5 +44,4 @@ def flagged(df: DataFrame, threshold: float, score: str | Column = "risk_score")
 
 def isin_set(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose ``column`` occurs in the one-column frame ``values``."""
-    members = values.toDF(column)
-    return df.join(broadcast_if_small(members), column, "left_semi")
+    return df.join(values.toDF(column), column, "left_semi")

@@ -26,15 +26,15 @@ def names(keys: Keys) -> list[str]:
 def is_small(
     df: DataFrame, rows: int = config.BROADCAST_ROWS, size: int = config.BROADCAST_BYTES
 ) -> bool:
-    """Whether ``df`` keeps within both limits; reads no further than ``rows``.
+    """Whether ``df`` keeps within both limits, by one aggregate with partial sums.
 
-    Text counts with its length, anything else with eight bytes.
+    ``df`` is read whole, so it should be a stored table. Text counts with its length, anything else with eight bytes.
     """
     width = F.lit(0)
     for column, kind in df.dtypes:
         text = F.coalesce(F.octet_length(F.col(column)), F.lit(0))
         width = width + (text if kind == "string" else F.lit(8))
-    found = df.limit(rows + 1).agg(
+    found = df.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("size")
     )
     measured = found.first()

@@ -60,7 +60,14 @@ def export_csv(
     out = df.repartition(1) if single_file else df
     if single_file and order_by:
         out = out.sortWithinPartitions(*order_by)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (
+        out.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

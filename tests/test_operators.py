@@ -163,3 +163,14 @@ def test_observed_counts_in_passing(spark):
     df, seen = A.observed(spark.range(50), "stage")
     assert df.filter("id < 10").count() == 10
     assert seen.get["n"] == 50
+
+
+def test_encoding_refuses_missing_and_repeated_labels(spark):
+    from attendra.operators.encoding import encode
+
+    df = spark.createDataFrame([("s1", "f")], "student string, gender string")
+    vocab = spark.createDataFrame([("gender", "f", 0), ("gender", "f", 1)], "feature string, label string, code int")
+    with pytest.raises(ValueError, match="gender"):
+        encode(df, vocab, ["gender"])
+    with pytest.raises(ValueError, match="language"):
+        encode(df.withColumnRenamed("gender", "language"), vocab, ["language"])

@@ -84,10 +84,8 @@ def training_set(t):
     return training(t).withColumns({c: F.round(c, 6) for c in RATES})
 
 
-# The test orders end on the first day of a year, so the last full year counts.
 LATEST_SQL = f"""{TRAINING_SQL},
-latest AS (SELECT MAX(school_year) AS school_year FROM features
-           WHERE school_year <= {standin.TARGET_YEAR}),
+latest AS (SELECT MAX(school_year) AS school_year FROM features),
 placed AS (
     SELECT f.student_key, f.school_year, s.school_code
     FROM features f JOIN latest USING (school_year)
@@ -101,23 +99,20 @@ SAMPLE_ORDER = "md5(CAST(student_key AS VARCHAR) || '|42'), student_key"
 
 
 def _placing(t):
-    """Stored training rows of full years, and the domain tables that place them."""
+    """Stored training rows, and the domain tables that place them."""
     tables = standin.tables(t)
-    rows = S.training_set(tables, patterns=standin.PATTERNS).filter(
-        F.col("school_year") <= standin.TARGET_YEAR
-    )
-    return materialize(rows, "training"), tables
+    return materialize(S.training_set(tables, patterns=standin.PATTERNS), "training"), tables
 
 
 @query(
     "school_sample",
     f"""WITH {LATEST_SQL}
     SELECT student_key, school_year, school_code FROM placed
-    QUALIFY row_number() OVER (PARTITION BY school_code ORDER BY {SAMPLE_ORDER}) <= 5""",
+    QUALIFY row_number() OVER (PARTITION BY school_code ORDER BY {SAMPLE_ORDER}) <= {config.SAMPLE_PER_SCHOOL}""",
 )
 def school_sample(t):
     rows, tables = _placing(t)
-    sample = S.school_sample(rows, tables["enrollment"], tables["school"], n=5)
+    sample = S.school_sample(rows, tables["enrollment"], tables["school"], n=config.SAMPLE_PER_SCHOOL)
     return sample.select("student_key", "school_year", "school_code")
 
 
@@ -128,12 +123,12 @@ def school_sample(t):
     SELECT student_key, school_year, school_code, school_name, network FROM named
     WHERE network IN (
         SELECT network FROM named GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 2)
-    QUALIFY row_number() OVER (PARTITION BY network ORDER BY {SAMPLE_ORDER}) <= 20""",
+    QUALIFY row_number() OVER (PARTITION BY network ORDER BY {SAMPLE_ORDER}) <= {config.SAMPLE_PER_NETWORK}""",
 )
 def network_sample(t):
     rows, tables = _placing(t)
     listing = tables["school"].withColumnRenamed("governance", "network")
-    sample = S.network_sample(rows, tables["enrollment"], tables["school"], listing, n=20)
+    sample = S.network_sample(rows, tables["enrollment"], tables["school"], listing, n=config.SAMPLE_PER_NETWORK)
     return sample.select("student_key", "school_year", "school_code", "school_name", "network")
 
 

@@ -245,12 +245,12 @@ def training_rows(t):
 @query("ml7_fit")
 def fit(t):
     rows = training_rows(t)
-    model, threshold = V.fit(rows, maxIter=5, maxDepth=3)
+    model, threshold = V.fit(rows)
     scored = SparkModelScorer(model).score(rows)
     return V.evaluate(scored, threshold=threshold).withColumn("threshold", F.lit(threshold))
 
 
 @query("ml8_importance")
 def importance(t):
-    model, _ = V.fit(training_rows(t), maxIter=5, maxDepth=3)
+    model, _ = V.fit(training_rows(t))
     return V.importance(t.spark, model)
