@@ -22,12 +22,13 @@ def fiscal_year(day: str | Column, start_month: int = config.FISCAL_START_MONTH)
     The date is moved forward so that the first day of ``start_month`` falls on
     1 January; the calendar year of the moved date is the fiscal year.
     """
-    return F.year(F.add_months(col(day).cast("date"), 13 - start_month))
+    return F.year(F.add_months(col(day).cast("date"), (13 - start_month) % 12))
 
 
 def fiscal_bounds(year: int, start_month: int = config.FISCAL_START_MONTH) -> tuple[date, date]:
     """First day of fiscal ``year`` and first day after it."""
-    return date(year - 1, start_month, 1), date(year, start_month, 1)
+    first = year if start_month == 1 else year - 1
+    return date(first, start_month, 1), date(first + 1, start_month, 1)
 
 
 def in_fiscal_year(
@@ -120,6 +121,13 @@ def translate(code: str | Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(text, as_key(code)), as_key(code))
 
 
+def grade_text(code: str | Column) -> Column:
+    """``Grade n`` for 1 to 12, padded or not; named codes by ``GRADE_TEXT``; others as they are."""
+    text = as_key(code)
+    number = F.when(text.rlike("^(0?[1-9]|1[0-2])$"), text.try_cast("int").cast("string"))
+    return F.coalesce(F.concat(F.lit("Grade "), number), translate(code, config.GRADE_TEXT))
+
+
 def dashes_text(label: str | Column, text: str = config.NOT_SPECIFIED) -> Column:
     return F.replace(col(label), F.lit("--"), F.lit(text))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from attendra.operators.scoring import SCORE, Neutrals, RowScorer, Scorer, reder
 def contributions(
     df: DataFrame,
     scorer: Scorer,
-    key: str = "student_key",
+    key: str | Sequence[str] = "student_key",
     neutrals: Neutrals = config.NEUTRAL_VALUES,
     min_delta: float = config.MIN_CONTRIBUTION,
     cap: int = config.MAX_CONTRIBUTIONS,
@@ -20,17 +22,19 @@ def contributions(
     """Rows (key, rank, factor, delta, direction), strongest factor first.
 
     ``delta`` is the score minus the score with the factor's input at its
-    neutral value. Give flagged rows only: the work is a multiple of theirs.
+    neutral value. ``key`` names the columns that tell rows apart, such as student
+    and year. Give flagged rows only: the work is a multiple of theirs.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     base = df if SCORE in df.columns else scorer.score(df)
     local = isinstance(scorer, RowScorer)
     effects = _within_rows if local else _by_rescoring
-    found = effects(base, scorer, key, neutrals)
+    found = effects(base, scorer, keys, neutrals)
     kept = F.filter("effects", lambda e: F.abs(e["delta"]) > min_delta)
     strongest = F.slice(F.array_sort(kept), 1, cap)
     delta = F.col("effect.delta")
-    return found.select(key, F.posexplode(strongest).alias("at", "effect")).select(
-        key,
+    return found.select(*keys, F.posexplode(strongest).alias("at", "effect")).select(
+        *keys,
         (F.col("at") + 1).alias("rank"),
         F.col("effect.factor").alias("factor"),
         F.round(delta, 4).alias("delta"),
@@ -43,16 +47,16 @@ def _effect(factor: Column, delta: Column) -> Column:
     return F.struct((-F.abs(delta)).alias("weight"), factor.alias("factor"), delta.alias("delta"))
 
 
-def _within_rows(base: DataFrame, scorer: RowScorer, key: str, neutrals: Neutrals) -> DataFrame:
+def _within_rows(base: DataFrame, scorer: RowScorer, keys: list[str], neutrals: Neutrals) -> DataFrame:
     """All changes of a row are scored inside that row: no shuffle at all."""
-    scored = base.select(key, SCORE, scorer.counterfactuals(neutrals).alias("changed"))
+    scored = base.select(*keys, SCORE, scorer.counterfactuals(neutrals).alias("changed"))
     effects = F.array(
         *(_effect(F.lit(f), F.col(SCORE) - F.col("changed")[i]) for i, f in enumerate(neutrals))
     )
-    return scored.select(key, effects.alias("effects"))
+    return scored.select(*keys, effects.alias("effects"))
 
 
-def _by_rescoring(base: DataFrame, scorer: Scorer, key: str, neutrals: Neutrals) -> DataFrame:
+def _by_rescoring(base: DataFrame, scorer: Scorer, keys: list[str], neutrals: Neutrals) -> DataFrame:
     """For any other scorer: one row per change, scored in one pass and regrouped."""
     cases = F.explode(F.array(*(F.lit(f) for f in neutrals))).alias("factor")
     rows = base.withColumnRenamed(SCORE, "base_score").select("*", cases)
@@ -65,4 +69,4 @@ def _by_rescoring(base: DataFrame, scorer: Scorer, key: str, neutrals: Neutrals)
     rescored = scorer.score(rederive(rows.withColumns(inputs)))
     effect = _effect(F.col("factor"), F.col("base_score") - F.col(SCORE))
     # A list holds one element per factor.
-    return rescored.groupBy(key).agg(F.collect_list(effect).alias("effects"))
+    return rescored.groupBy(*keys).agg(F.collect_list(effect).alias("effects"))

@@ -18,17 +18,11 @@ def keyed_ids(
     return df.withColumn(name, F.concat(F.lit(f"{prefix}-"), digest)).drop(key)
 
 
-def ordinal_ids(
-    df: DataFrame,
-    order: Sequence[Column],
-    key: str,
-    prefix: str = "STU",
-    name: str = "student_id",
-) -> DataFrame:
-    """Replace ``key`` by dense ids 1..N in the given total order.
+def with_place(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Add each row's position 1..N in the given total order.
 
     Rows are range-partitioned on the whole order and stored once with their
-    place inside their partition; ids are then offsets plus places. The only
+    place inside their partition; positions are then offsets plus places. The only
     thing gathered is one row count per partition.
     """
     placed = (
@@ -51,9 +45,27 @@ def ordinal_ids(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    number = F.col("_offset") + F.col("_place") + 1
     return (
         stored.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.format_string(f"{prefix}-%05d", number))
-        .drop("_part", "_place", "_at", "_offset", key)
+        .withColumn(name, F.col("_offset") + F.col("_place") + 1)
+        .drop("_part", "_place", "_at", "_offset")
+    )
+
+
+def ordinal_ids(
+    df: DataFrame,
+    order: Sequence[Column],
+    key: str,
+    prefix: str = "STU",
+    name: str = "student_id",
+    place: str | None = None,
+) -> DataFrame:
+    """Replace ``key`` by dense ids 1..N in the given total order.
+
+    The rows come unsorted; ``place`` also keeps the number itself, to sort on.
+    """
+    number = place or "_number"
+    named = with_place(df, order, number).withColumn(
+        name, F.format_string(f"{prefix}-%05d", F.col(number))
     )
+    return named.drop(key) if place else named.drop(key, number)

@@ -103,7 +103,7 @@ class PandasScorer:
     """
 
     load: Callable[[], Callable[[pd.DataFrame], Sequence[float]]]
-    inputs: Sequence[str] = field(default=config.NUMERIC_FEATURES)
+    inputs: Sequence[str] = field(default=config.MODEL_INPUTS)
 
     def score(self, df: DataFrame) -> DataFrame:
         load = self.load
@@ -140,7 +140,3 @@ class PandasScorer:
 
         chances = predict.asNondeterministic()(F.struct(*inputs))
         return F.transform(chances, lambda chance: F.round(chance, SCORE_DIGITS))
-
-
-def score(df: DataFrame, scorer: Scorer) -> DataFrame:
-    return scorer.score(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,9 +118,12 @@ def student_history(
     )
 
 
-def demographics(student: DataFrame) -> DataFrame:
-    chosen = student.select(STUDENT, *config.CATEGORY_FEATURES, *config.INDICATOR_FEATURES)
-    return dedup(chosen, STUDENT).withColumns({c: yes_flag(c) for c in config.INDICATOR_FEATURES})
+def demographics(student: DataFrame, latest: Sequence[str] = ()) -> DataFrame:
+    """One row per student: of several the one highest in the ``latest`` columns."""
+    named = [*config.CATEGORY_FEATURES, *config.INDICATOR_FEATURES]
+    chosen = student.select(STUDENT, *named, *(c for c in latest if c not in named))
+    one = dedup(chosen, STUDENT, [F.desc_nulls_last(c) for c in latest]).select(STUDENT, *named)
+    return one.withColumns({c: yes_flag(c) for c in config.INDICATOR_FEATURES})
 
 
 def medical(
@@ -148,11 +151,13 @@ def medical(
     return counted.withColumn("has_chronic_condition", flag(F.col("chronic_condition_count") > 0))
 
 
-def compliance(health_indicator: DataFrame) -> DataFrame:
-    flags = health_indicator.select(
+def compliance(health_indicator: DataFrame, latest: Sequence[str] = ()) -> DataFrame:
+    """One row per student, chosen among the source rows as in ``demographics``."""
+    named = list(dict.fromkeys(config.COMPLIANCE_FEATURES.values()))
+    chosen = health_indicator.select(STUDENT, *named, *(c for c in latest if c not in named))
+    return dedup(chosen, STUDENT, [F.desc_nulls_last(c) for c in latest]).select(
         STUDENT, *(yes_flag(source).alias(name) for name, source in config.COMPLIANCE_FEATURES.items())
     )
-    return dedup(flags, STUDENT)
 
 
 def medicaid(current: DataFrame) -> DataFrame:
@@ -175,4 +180,4 @@ def feature_rows(
         ],
         STUDENT,
     )
-    return rederive(fill_features(rows, config.RATE_FILLS))
+    return rederive(fill_features(rows, config.RATE_FILLS, keys=(STUDENT, YEAR)))

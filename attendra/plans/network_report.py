@@ -9,6 +9,7 @@ from attendra import config
 from attendra.functions.columns import (
     coalesce_label,
     dashes_text,
+    grade_text,
     need_band,
     pct_text,
     translate,
@@ -43,7 +44,7 @@ def follow_up_table(view: DataFrame, threshold: float = config.DISPLAY_THRESHOLD
         urgency("risk_score").alias("urgency"),
         "student_id",
         F.col("school_name").alias("school"),
-        translate("grade", config.GRADE_TEXT).alias("grade"),
+        grade_text("grade").alias("grade"),
         translate("gender", config.GENDER_TEXT).alias("gender"),
         dashes_text("race").alias("race"),
         pct_text("prior_yr_attendance").alias("last_year_attendance"),

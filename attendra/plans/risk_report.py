@@ -100,18 +100,21 @@ def risk_report(
     cohort: str,
     scorer: Scorer,
     salt: str | None = None,
+    place: str | None = None,
     **kwargs,
 ) -> DataFrame:
     """The ordered report with surrogate ids in place of the source key.
 
     With a ``salt`` ids are keyed hashes (stable, tell no rank); without one
-    they are ordinals in report order. Further options are those of
-    ``risk_rows``.
+    they are ordinals in report order, and ``place`` names a column for the
+    number itself. Further options are those of ``risk_rows``.
 
     The slim scored rows are stored before they are sorted: a sort samples its
     input first, and would score everything twice.
     """
     rows = materialize(risk_rows(tables, year, cohort, scorer, **kwargs), "scored")
     if salt is None:
-        return ordinal_ids(rows, report_order(STUDENT), STUDENT)
+        number = place or "_number"
+        report = ordinal_ids(rows, report_order(STUDENT), STUDENT, place=number).orderBy(number)
+        return report if place else report.drop(number)
     return keyed_ids(rank_list(rows, STUDENT), STUDENT, salt)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attendra import config
 from attendra.operators.windows import top_n_per
 
+#: Stands for an unquoted empty field while reading, to tell it from empty text.
+NO_VALUE = "\u0000"
+
 
 def load_tables(
     spark: SparkSession,
@@ -37,15 +40,32 @@ def load_tables(
     return tables
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType, multiline: bool = False
+) -> DataFrame:
     """The columns of ``schema`` from headered CSV, found by name.
 
     Nothing is inferred: codes declared as strings keep their leading zeros,
-    and only an empty field is null, so a label such as ``N/A`` remains a label.
+    and only an empty field is null, so a label such as ``N/A`` remains a label
+    and quoted empty text remains text. ``multiline`` allows line breaks inside
+    quotes; a file is then read by one task.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = spark.read.option("header", True).option("nullValue", "").option("escape", '"').csv(path)
-    return text.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted))
+    text = (
+        spark.read.option("header", True)
+        .option("nullValue", NO_VALUE)
+        .option("emptyValue", "")
+        .option("escape", '"')
+        .option("multiLine", multiline)
+        .csv(path)
+    )
+
+    def value(field: T.StructField) -> Column:
+        found = F.col(field.name)
+        typed = isinstance(field.dataType, T.StringType)
+        return (found if typed else F.nullif(found, F.lit("")).cast(field.dataType)).alias(field.name)
+
+    return text.select(*(value(f) for f in wanted))
 
 
 def export_csv(
@@ -78,10 +98,11 @@ def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Rows (feature, label, code) of files holding one ``{feature: [label, ...]}``.
 
-    A label's position in its list is its code. ``path`` is a file or a folder.
+    A label's position in its list is its code. ``path`` is a file or a folder;
+    malformed JSON fails.
     """
     listed = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "map<string, array<string>>")).alias("feature", "labels")
+        F.explode(F.from_json("value", "map<string, array<string>>", {"mode": "FAILFAST"})).alias("feature", "labels")
     )
     return listed.select("feature", F.posexplode("labels").alias("code", "label")).select(
         F.lower("feature").alias("feature"), "label", "code"
@@ -94,12 +115,12 @@ def profile(
     """Rows (column, present, value): what a table holds.
 
     Every column of ``df`` whose name contains a keyword is listed with its
-    first ``values`` distinct values in order; every name in ``wanted`` that
-    the table lacks is listed as absent. One pass over the matched columns.
+    first ``values`` distinct values in order (one null without rows); every
+    other name in ``wanted`` is listed as present or absent. One pass over the matched columns.
     """
     matched = [c for c in df.columns if any(k.lower() in c.lower() for k in keywords)]
     have = {c.lower() for c in df.columns}
-    facts = [(w, w.lower() in have) for w in wanted if w not in matched]
+    facts = [(w, w.lower() in have) for w in wanted if w.lower() not in {c.lower() for c in matched}]
     spark = df.sparkSession
     schema = "column string, present boolean, value string"
     listing = spark.createDataFrame([(c, p, None) for c, p in facts], schema)
@@ -110,4 +131,5 @@ def profile(
     )
     distinct = df.select(F.inline(cells)).distinct()
     found = top_n_per(distinct, ["column"], [F.col("value").asc_nulls_first()], values, spread=True)
-    return listing.unionByName(found.select("column", F.lit(True).alias("present"), "value"))
+    listed = spark.createDataFrame([(c,) for c in matched], "column string").join(found, "column", "left")
+    return listing.unionByName(listed.select("column", F.lit(True).alias("present"), "value"))

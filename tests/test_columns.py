@@ -74,7 +74,7 @@ def test_percent_text_ties_to_even_or_cuts(spark):
 
 def test_translate_passes_unmapped_through(spark):
     df = spark.createDataFrame([("PK",), ("07",), ("7",), ("N/A",), (None,)], "g string")
-    assert values(df.withColumn("v", C.translate("g", config.GRADE_TEXT))) == [
+    assert values(df.withColumn("v", C.grade_text("g"))) == [
         "Pre-K",
         "Grade 7",
         "Grade 7",
@@ -85,7 +85,7 @@ def test_translate_passes_unmapped_through(spark):
 
 def test_display_codes_invert(spark):
     df = spark.createDataFrame([(t,) for t in config.GRADE_CODE], "g string")
-    back = C.translate(C.translate("g", config.GRADE_CODE), config.GRADE_TEXT)
+    back = C.grade_text(C.translate("g", config.GRADE_CODE))
     assert values(df.withColumn("v", back)) == list(config.GRADE_CODE)
 
 
@@ -102,3 +102,14 @@ def test_profile_defaults_differ_from_batch_fill(spark):
     assert (row["dental_compliant"], row["student_language"]) == (1, "English")
     assert row["attendance_rate_t_minus_1"] == 0.95
     assert len(row) == len(config.MODEL_INPUTS) - 1  # the derived flag has no default
+
+
+def test_fiscal_year_may_be_the_calendar_year(spark):
+    df = spark.sql("SELECT DATE'2024-03-05' AS d UNION ALL SELECT DATE'2024-12-31'")
+    assert values(df.withColumn("v", C.fiscal_year("d", 1))) == [2024, 2024]
+    assert df.filter(C.in_fiscal_year("d", 2024, 1)).count() == 2
+
+
+def test_filling_leaves_keys_alone(spark):
+    df = spark.createDataFrame([(None, None, None)], "k int, n int, t string")
+    assert fill_features(df, {}, keys=["k"]).first() == (None, 0, "Unknown")

@@ -175,3 +175,14 @@ def test_encoding_refuses_missing_and_repeated_labels(spark):
         encode(df, vocab, ["gender"])
     with pytest.raises(ValueError, match="language"):
         encode(df.withColumnRenamed("gender", "language"), vocab, ["language"])
+
+
+def test_dedup_prefers_filled_rows(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "F", None), (2, None, None)], "k int, g string, h string")
+    assert sorted(map(tuple, dedup(df, "k").collect())) == [(1, "F", None), (2, None, None)]
+
+
+def test_lists_tell_their_positions(spark):
+    df = spark.createDataFrame([(f"Network {n}",) for n in (10, 2, 33, 2)] + [("ALOP",)], "n string")
+    got = O.ordered_labels(df.repartition(4), "n", place="place").collect()
+    assert [tuple(r) for r in got] == [("Network 2", 1), ("Network 10", 2), ("Network 33", 3), ("ALOP", 4)]

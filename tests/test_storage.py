@@ -87,3 +87,24 @@ class FakeSession:
 def test_cluster_without_shared_folder_is_refused():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(FakeSession())
+
+
+def test_csv_tells_empty_text_from_null_and_keeps_blanks_and_line_breaks(spark, tmp_path):
+    rows = [("1", "  lead "), ("2", ""), ("3", None), ("4", 'two\nlines, "quoted"')]
+    path = str(tmp_path / "csv")
+    S.export_csv(spark.createDataFrame(rows, "code string, label string"), path)
+    back = S.read_csv(spark, path, "code string, label string", multiline=True)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_malformed_vocabulary_fails(spark, tmp_path):
+    path = tmp_path / "vocab.json"
+    path.write_text('{"GRADE": ["01", ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.load_vocab(spark, str(path)).collect()
+
+
+def test_profile_of_an_empty_table_and_names_in_any_case(spark):
+    df = spark.createDataFrame([], "School_Name string, n int")
+    got = sorted(map(tuple, S.profile(df, ["name"], ["SCHOOL_NAME", "N", "network"]).collect()))
+    assert got == [("N", True, None), ("School_Name", True, None), ("network", False, None)]

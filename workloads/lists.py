@@ -16,9 +16,14 @@ def _list(t):
     return standin.scored(t).select("governance", "school_name", "student_id", "risk_score")
 
 
-@query("sr1_rank_list", LIST_SQL)
+@query(
+    "sr1_rank_list",
+    f"""SELECT *, row_number() OVER (
+        ORDER BY governance, school_name, risk_score DESC NULLS LAST, student_id) AS place
+    FROM ({LIST_SQL})""",
+)
 def rank_list(t):
-    return O.rank_list(_list(t), "student_id")
+    return O.rank_list(_list(t), "student_id", place="place")
 
 
 @query(
@@ -34,14 +39,24 @@ def worst_groups(t):
     return worst.withColumn("rate", F.round("rate", 6))
 
 
-@query("sr3_follow_up", f"SELECT * FROM ({LIST_SQL}) WHERE risk_score >= 0.5")
+@query(
+    "sr3_follow_up",
+    f"""SELECT *, row_number() OVER (ORDER BY risk_score DESC, student_id) AS place
+    FROM ({LIST_SQL}) WHERE risk_score >= 0.5""",
+)
 def follow_up(t):
-    return O.follow_up(_list(t), 0.5)
+    return O.follow_up(_list(t), 0.5, place="place")
 
 
-@query("sr4_ordered_labels", "SELECT DISTINCT s_name FROM supplier")
+@query(
+    "sr4_ordered_labels",
+    """SELECT s_name, row_number() OVER (
+        ORDER BY TRY_CAST(NULLIF(regexp_extract(s_name, '^Supplier#([0-9]+)', 1), '') AS BIGINT) NULLS LAST,
+            s_name) AS place
+    FROM (SELECT DISTINCT s_name FROM supplier WHERE s_name IS NOT NULL)""",
+)
 def ordered_labels(t):
-    return O.ordered_labels(t.supplier, "s_name", prefix="Supplier#")
+    return O.ordered_labels(t.supplier, "s_name", prefix="Supplier#", place="place")
 
 
 @query(

@@ -205,7 +205,7 @@ def decoded(t):
     return standin.scored(t).select(
         "student_id",
         C.translate("gender", config.GENDER_TEXT).alias("gender"),
-        C.translate("grade", config.GRADE_TEXT).alias("grade"),
+        C.grade_text("grade").alias("grade"),
         C.dashes_text("race").alias("race"),
         C.pct_text("risk_score").alias("likelihood"),
         C.pct_text("risk_score", truncate=True).alias("whole_percent"),

@@ -45,10 +45,10 @@ def risk_report(t):
 
 @query(
     "risk_report_ordinal",
-    f"""SELECT * EXCLUDE (student_key), 'STU-' || lpad(CAST(row_number() OVER (
-            ORDER BY governance, school_name, risk_score DESC, student_key) AS VARCHAR), 5, '0')
-            AS student_id
-    FROM ({REPORT_SQL})""",
+    f"""SELECT *, 'STU-' || lpad(CAST(place AS VARCHAR), 5, '0') AS student_id FROM (
+        SELECT * EXCLUDE (student_key), row_number() OVER (
+            ORDER BY governance, school_name, risk_score DESC, student_key) AS place
+        FROM ({REPORT_SQL}))""",
 )
 def risk_report_ordinal(t):
     report = R.risk_report(
@@ -56,6 +56,7 @@ def risk_report_ordinal(t):
         standin.TARGET_YEAR,
         standin.COHORT,
         standin.SCORER,
+        place="place",
         patterns=standin.PATTERNS,
     )
     return report.withColumn("prior_yr_attendance", F.round("prior_yr_attendance", 6))
@@ -96,8 +97,6 @@ placed AS (
 SAMPLE_ORDER = "md5(CAST(student_key AS VARCHAR) || '|42'), student_key"
 
 
-
-
 def _placing(t):
     """Stored training rows, and the domain tables that place them."""
     tables = standin.tables(t)

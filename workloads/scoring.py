@@ -8,7 +8,7 @@ from attendra.operators import encoding as E
 from attendra.operators import evaluation as V
 from attendra.operators.explain import contributions
 from attendra.operators.filters import flagged
-from attendra.operators.scoring import LogisticScorer, PandasScorer, SparkModelScorer, score
+from attendra.operators.scoring import LogisticScorer, PandasScorer, SparkModelScorer
 from attendra.plans.risk_report import risk_rows, scoped_features
 from attendra.plans.training_set import training_set
 from attendra.sources.storage import materialize
@@ -69,7 +69,7 @@ SCORES_SQL = f"""WITH {standin.BATCH_FEATURES_SQL}
 
 @query("ml3_score", SCORES_SQL)
 def scores(t):
-    return score(features(t), standin.SCORER).select("student_key", "risk_score")
+    return standin.SCORER.score(features(t)).select("student_key", "risk_score")
 
 
 def pandas_scorer() -> PandasScorer:
@@ -91,7 +91,7 @@ def pandas_scorer() -> PandasScorer:
 
 @query("ml3_score_pandas", SCORES_SQL)
 def scores_pandas(t):
-    return score(features(t), pandas_scorer()).select("student_key", "risk_score")
+    return pandas_scorer().score(features(t)).select("student_key", "risk_score")
 
 
 INDEXED = LogisticScorer(
@@ -154,14 +154,14 @@ def contributions_sql() -> str:
 
 @query("ml4_contributions", contributions_sql())
 def explained(t):
-    atrisk = flagged(score(features(t), standin.SCORER), config.RISK_THRESHOLD)
+    atrisk = flagged(standin.SCORER.score(features(t)), config.RISK_THRESHOLD)
     return contributions(atrisk, standin.SCORER)
 
 
 @query("ml4_contributions_pandas", contributions_sql())
 def explained_pandas(t):
     scorer = pandas_scorer()
-    atrisk = flagged(score(features(t), scorer), config.RISK_THRESHOLD)
+    atrisk = flagged(scorer.score(features(t)), config.RISK_THRESHOLD)
     return contributions(atrisk, scorer)
 
 
@@ -174,7 +174,7 @@ class ScoreOnly:
 
 @query("ml4_contributions_rescored", contributions_sql())
 def explained_rescored(t):
-    atrisk = flagged(score(features(t), standin.SCORER), config.RISK_THRESHOLD)
+    atrisk = flagged(standin.SCORER.score(features(t)), config.RISK_THRESHOLD)
     return contributions(atrisk, ScoreOnly())
 
 

@@ -243,6 +243,7 @@ def health_indicator(t: Tables) -> DataFrame:
     )
 
 
+# Of several rows one without nulls survives; the exams indicator is "Yes" or null.
 COMPLIANCE_SQL = """compliance AS (
     SELECT student_key, immunizations_compliant, health_exams_compliant, dental_compliant,
            vision_compliant
@@ -255,7 +256,7 @@ COMPLIANCE_SQL = """compliance AS (
         FROM orders WHERE o_orderpriority = '1-URGENT'
     )
     QUALIFY row_number() OVER (PARTITION BY student_key ORDER BY immunizations_compliant,
-        health_exams_compliant, dental_compliant, vision_compliant) = 1
+        health_exams_compliant DESC, dental_compliant, vision_compliant) = 1
 )"""
 
 

@@ -76,13 +76,23 @@ def profile(t):
 
 @query(
     "snk1_export_csv",
-    """SELECT c_custkey, c_name, c_mktsegment || ', "' || c_mktsegment || '"' AS quoted FROM customer""",
+    """SELECT c_custkey, c_name, c_mktsegment || ', "' || c_mktsegment || '"' AS quoted,
+        '  ' || c_mktsegment || ' ' AS padded,
+        CASE WHEN c_nationkey % 2 = 0 THEN '' WHEN c_nationkey % 3 = 0 THEN c_mktsegment || chr(10) || 'x' END
+            AS broken
+    FROM customer""",
 )
 def export_csv(t):
     segment = F.col("c_mktsegment")
     rows = t.customer.select(
-        "c_custkey", "c_name", F.concat(segment, F.lit(', "'), segment, F.lit('"')).alias("quoted")
+        "c_custkey",
+        "c_name",
+        F.concat(segment, F.lit(', "'), segment, F.lit('"')).alias("quoted"),
+        F.concat(F.lit("  "), segment, F.lit(" ")).alias("padded"),
+        F.when(F.col("c_nationkey") % 2 == 0, "")
+        .when(F.col("c_nationkey") % 3 == 0, F.concat(segment, F.lit("\nx")))
+        .alias("broken"),
     )
     path = new_path(t.spark, "export")
     S.export_csv(rows, path, single_file=True)
-    return S.read_csv(t.spark, path, "c_custkey bigint, c_name string, quoted string")
+    return S.read_csv(t.spark, path, "c_custkey bigint, c_name string, quoted string, padded string, broken string", multiline=True)
