@@ -29,7 +29,8 @@ from attendra.llm.common import labelled_sample
 #: Labelled rows used: for the dictionaries, and for the calibration.
 LEARN_ROWS = 12_000
 DICTIONARY_BYTES = 256 << 10
-#: A document's share of a dictionary: many documents, not a few long ones.
+#: A document's share of a dictionary: many documents, not a few long ones. The
+#: excerpt lies anywhere in the text, by hash.
 EXCERPT_BYTES = 512
 BLOCK = 4096
 LEVEL = 3
@@ -112,8 +113,11 @@ def learn(
     """
     sample = labelled_sample(documents, labels, "quality", rows, train).where("text is not null")
     half = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2))
+    places = F.greatest(F.length("text") - EXCERPT_BYTES + 1, F.lit(1))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(31)), places).cast("int") + 1
+    excerpt = F.substring("text", start, EXCERPT_BYTES)
     words = sample.where(half == 0).select(
-        "label", F.substring("text", 1, EXCERPT_BYTES).alias("text"), F.xxhash64("doc_id", F.lit(29)).alias("at"), "doc_id"
+        "label", excerpt.alias("text"), F.xxhash64("doc_id", F.lit(29)).alias("at"), "doc_id"
     )
     most = DICTIONARY_BYTES // EXCERPT_BYTES * 8
     kinds = {}
