@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -60,7 +61,9 @@ def fold(word: str) -> str:
     plain = word.lower()
     if not plain.isascii():
         plain = unicodedata.normalize("NFKD", plain)
-        plain = "".join(LOOKALIKES.get(c, c) for c in plain if not unicodedata.combining(c))
+        # Some letters stand for whole phrases; their parts stay one word.
+        kept = (c for c in plain if not unicodedata.combining(c) and not c.isspace())
+        plain = "".join(LOOKALIKES.get(c, c) for c in kept)
     if not plain.isalpha() and LETTER.search(plain):
         plain = "".join(SUBSTITUTES.get(c, c) for c in plain)
     return plain
@@ -72,7 +75,7 @@ def folded(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [folded(w) for w in WORD.findall(text or "")]
+    return [plain for w in WORD.findall(text or "") if (plain := folded(w))]
 
 
 def entries_of(word: str) -> Iterable[str]:
@@ -99,6 +102,11 @@ def automaton(lexicon: tuple[tuple[str, float], ...]) -> ahocorasick.Automaton:
     return found
 
 
+def word_numbers(words: list[str]) -> dict[int, int]:
+    """Word number by the place of the blank before it in the joined line."""
+    return {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in words[:-1]), initial=0))}
+
+
 def matches(words: list[str], model: Model) -> list[tuple[int, float]]:
     """Word number and weight of every match that no exception voids."""
     if not model.lexicon or not words:
@@ -110,8 +118,9 @@ def matches(words: list[str], model: Model) -> list[tuple[int, float]]:
         if start not in best or best[start][0] < size:
             best[start] = (size, weight)
     out = []
+    numbers = word_numbers(words) if best else {}
     for start, (_, weight) in sorted(best.items()):
-        at = line.count(" ", 0, start + 1) - 1 if model.exceptions else 0
+        at = numbers[start]
         if model.exceptions and any(p in model.exceptions for p in phrases(words, at)):
             continue
         out.append((at, weight))
@@ -178,9 +187,9 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None,
             for text, label in zip(batch["text"], batch["label"]):
                 words = words_of(text)
                 line = f" {' '.join(words)} "
-                seen = set()
-                for end, (size, _) in automaton(lexicon).iter(line) if lexicon else ():
-                    seen.update(phrases(words, line.count(" ", 0, end - size + 2) - 1))
+                found = {end - size + 1 for end, (size, _) in automaton(lexicon).iter(line)} if lexicon else set()
+                numbers = word_numbers(words) if found else {}
+                seen = {p for start in found for p in phrases(words, numbers[start])}
                 rows += [(p, int(label == 1), int(label != 1)) for p in seen]
             yield pd.DataFrame(rows, columns=["phrase", "toxic", "clean"])
 

@@ -415,3 +415,10 @@ def test_pipeline_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL).select("doc_id", "decoded_sha256").collect()
     want = {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts(before).items()}
     assert {tuple(r) for r in rows} == want
+
+
+def test_letters_that_stand_for_phrases_stay_one_word():
+    model = toxicity.Model(((" vile ", 3.0),), frozenset({"so vile"}), ())
+    words = toxicity.words_of("\ufdfa vile \uff9e so vile end vile")
+    assert [at for at, _ in toxicity.matches(words, model)] == [1, len(words) - 1]
+    assert all(" " not in w for w in words)
