@@ -80,7 +80,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_site_lines", site_lines.SQL_TEXT)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    cleaned = site_lines.remove_spread(documents.select("doc_id", "source", "text"), removed="n_removed")
+    named = documents.select("doc_id", "source", "text")
+    cleaned = site_lines.remove_spread(named, removed="n_removed", family=site_lines.least_other_line)  # as its SQL says
     return cleaned.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 

@@ -253,6 +253,32 @@ def test_spread_lines_go_and_copies_stay(spark):
     assert got[200] is None and got[201] == "" and got[None] == ""
 
 
+def test_documents_that_share_another_line_all_count(spark):
+    # 20 differing documents share two lines: the least MD5 of the others is equal for most.
+    rows = [(k, f"Shared terms apply.\nAll rights reserved.\nown {k}", None, f"s{k}", 1, None) for k in range(20)]
+    rows += [(100 + k, "a copied text\nwith two lines\na copied text", None, f"s{k}", 1, None) for k in range(10)]
+    rows += [(200 + k, "with two lines\na copied text", None, f"s{k}", 1, None) for k in range(10)]
+    got = texts(site_lines.remove_spread(spark.createDataFrame(rows, SCHEMA)))
+    assert {got[k] for k in range(20)} == {f"own {k}" for k in range(20)}
+    assert got[100] == "a copied text\nwith two lines\na copied text" and got[205] == "with two lines\na copied text"
+
+
+def test_spread_lines_agree_with_plain_count(spark):
+    folder = "/root/testdata/sf0.1/documents.parquet"
+    con = duckdb.connect()
+    want = con.execute(f"""
+        WITH split AS (
+          SELECT source, list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+                                                             lambda x: x <> ''))) AS lines
+          FROM '{folder}' WHERE text IS NOT NULL AND source IS NOT NULL),
+        one AS (SELECT lines, min(source) AS site FROM split GROUP BY lines)
+        SELECT line FROM (SELECT unnest(lines) AS line, site FROM one)
+        GROUP BY line HAVING count(DISTINCT site) >= {site_lines.SITES}""").fetchall()
+    lines = spark.createDataFrame(want, "line string").select(site_lines.line_hash(F.col("line")).alias("line"))
+    got = site_lines.spread_lines(spark.read.parquet(folder))
+    assert sorted(got.collect()) == sorted(lines.collect()) and len(want) == 121
+
+
 def test_site_lines_awkward(spark, awkward, empty):
     cleaned = site_lines.remove_spread(awkward, removed="n_removed")
     assert cleaned.columns == [*awkward.columns, "n_removed"] and cleaned.count() == awkward.count()
