@@ -20,7 +20,8 @@ is ascending doc_id (nulls first, ties by text). A file is closed at
 another name and then renamed; a repeated task writes the same bytes again, so
 lost executors leave no half-written or doubled records.
 
-A null text counts as empty; every record ends with the end id. An empty table
+A null text counts as empty; every record ends with the end id. The string of a
+special token in a text gives that token's id, as the tokenizer's plain call does. An empty table
 gives no files, and reading it gives no rows.
 """
 
@@ -54,7 +55,8 @@ FILE_BYTES = 16 << 20
 CACHE = 600_000
 #: Cuts where the tokenizer's own pattern always cuts: before a blank or line feed
 #: that follows a visible character, and between a letter or digit and a full stop
-#: or comma. Texts are then encoded piece by piece.
+#: or comma, never inside the string of a special token. Texts are then encoded
+#: piece by piece.
 CHUNK = re.compile(r"\s*[^\W_]+(?![^\s.,])|\s*\S+(?:[^ \n\S]\s*\S+)*|\s+")
 
 
@@ -70,9 +72,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer, self.ordinary = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Cheaper, with equal ids for pieces without a special token's string.
+        self.ordinary.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        self.ordinary.no_truncation()
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        # A normalizer may make a special token's string of another one.
+        self.special = re.compile("" if self.tokenizer.normalizer else "|".join(special) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
@@ -80,12 +87,14 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        missing = list({c for row in chunks for c in row if c not in known})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for chunk, one in zip(part, found):
-                known[chunk] = array("I", one.ids).tobytes()
+        missing = {c for row in chunks for c in row if c not in known}
+        special = {c for c in missing if self.special.search(c)}
+        for tokenizer, some in ((self.ordinary, list(missing - special)), (self.tokenizer, list(special))):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                for chunk, one in zip(part, found):
+                    known[chunk] = array("I", one.ids).tobytes()
         look = known.__getitem__
         return [np.frombuffer(b"".join(map(look, row)), "<u4") for row in chunks]
 

@@ -102,6 +102,18 @@ def test_token_records_round_trip(spark, real, awkward, tmp_path):
         assert Counter((r[0], tuple(r[1])) for r in mixed) == Counter((r["doc_id"], tuple(r["ids"])) for r in rows)
 
 
+def test_special_token_strings_get_their_ids(spark, tmp_path):
+    plain = Tokenizer.from_file(JSON)
+    assert 50256 in plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    pick = random.Random(4)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", "a", "b.c", ",", ".", " ", "  ", "\n", "\t", "don't", "12", "_", "\xa0", "中"]
+    odd = ["a <|endoftext|> b", "<|endoftext|>", *("".join(pick.choices(pieces, k=pick.randint(1, 12))) for _ in range(2000))]
+    folder = str(tmp_path / "special")
+    token_records.write(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), JSON, folder)
+    got = {r["doc_id"]: r["ids"] for r in token_records.read(spark, folder).collect()}
+    assert got == {k: [*plain.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(odd)}
+
+
 def test_damaged_records_are_refused():
     data = bytearray(token_records.record(7, token_records.np.arange(5)))
     assert token_records.parse(bytes(data))[0] == 7
