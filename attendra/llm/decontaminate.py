@@ -7,11 +7,14 @@ other. Shared q-grams are counted in overlapping diagonal bands of twice that
 width; bands that reach the bound are verified by an alignment confined to the
 band. The edit budget is ``EDITS`` of the passage's length.
 
-Items over ``SEGMENT`` characters are sought in overlapping segments, so a long
-one that is quoted in part is found; an item shorter than ``LEAST`` characters
-(or null) matches nothing. Null and empty texts match nothing. Whole texts are
-searched. Repeated rows get equal matches; of several places in a document the
-one with the fewest edits counts, then the first.
+Items over ``SEGMENT`` characters are sought in overlapping segments. Items over
+``PART`` characters are sought in parts of that length too, ``STRIDE`` apart and
+one at the end: every quotation of ``PART + STRIDE - 1`` characters holds a whole
+part, and the part is found if its own edits are within its budget. An item
+shorter than ``LEAST`` characters (or null) matches nothing. Null and empty texts
+match nothing. Whole texts are searched. Repeated rows get equal matches; of
+several places in a document a whole item or segment counts before a part, then
+the one with the fewest edits, then the first.
 """
 
 from __future__ import annotations
@@ -30,8 +33,11 @@ Q = 9
 EDITS = 0.08
 LEAST = 40
 SEGMENT = 400
+#: A quotation of an item from 149 characters on holds a whole part.
+PART = 100
+STRIDE = 50
 #: Benchmark text searched for in one pass: an index of it goes to every task.
-PASS_CHARS = 8_000_000
+PASS_CHARS = 4_000_000
 TABLE_BITS = 24
 CHARS_AT_ONCE = 2_000_000
 OUTSIDE = re.compile(r"[\W_]+")
@@ -62,6 +68,7 @@ class Passages:
     """Segments with their q-grams in hash order."""
 
     items: np.ndarray
+    parts: np.ndarray
     texts: list[str]
     edits: np.ndarray
     bounds: np.ndarray
@@ -77,10 +84,20 @@ def segments_of(text: str) -> list[str]:
     return [text[a : a + SEGMENT] for a in range(0, len(text) - SEGMENT // 2, SEGMENT // 2)]
 
 
+def parts_of(text: str) -> list[str]:
+    if len(text) <= PART:
+        return []
+    return [text[a : a + PART] for a in (*range(0, len(text) - PART, STRIDE), len(text) - PART)]
+
+
 @lru_cache(maxsize=2)
 def passages(items: tuple[tuple[int, str], ...]) -> Passages:
-    rows = [(item, part) for item, text in items for part in segments_of(text) if len(part) >= LEAST]
-    texts = [t for _, t in rows]
+    rows = []
+    for item, text in items:
+        # An item's segments come before its parts: ``search`` relies on it.
+        rows += [(item, False, one) for one in segments_of(text) if len(one) >= LEAST]
+        rows += [(item, True, one) for one in parts_of(text)]
+    texts = [t for _, _, t in rows]
     sizes = np.array([len(t) for t in texts], np.int64)
     edits = np.minimum((EDITS * sizes).astype(np.int64), (sizes - Q) // Q)
     hashes = [grams(t) for t in texts]
@@ -91,7 +108,15 @@ def passages(items: tuple[tuple[int, str], ...]) -> Passages:
     table = np.zeros(1 << TABLE_BITS, bool)
     table[every >> np.uint64(64 - TABLE_BITS)] = True
     return Passages(
-        np.array([i for i, _ in rows], np.int64), texts, edits, sizes + 1 - Q - edits * Q, every[order], segment, place, table
+        np.array([i for i, _, _ in rows], np.int64),
+        np.array([p for _, p, _ in rows], bool),
+        texts,
+        edits,
+        sizes + 1 - Q - edits * Q,
+        every[order],
+        segment,
+        place,
+        table,
     )
 
 
@@ -141,12 +166,15 @@ def search(texts: list[str], known: Passages) -> Iterator[tuple[int, int, int, i
     key = np.concatenate([segment * (1 << 40) + band, segment * (1 << 40) + band - 1])
     bands, count = np.unique(key, return_counts=True)
     wanted = bands[count >= known.bounds[bands >> 40]]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best: dict[tuple[int, int], tuple[bool, int, int, int]] = {}
     for one in wanted.tolist():
         number, band_at = one >> 40, one & ((1 << 40) - 1)
         k, passage = int(known.edits[number]), known.texts[number]
         first = band_at * (k + 1) - SEGMENT
         text_at = int(np.searchsorted(starts, min(max(first + len(passage) // 2, 0), len(joined) - 1), "right")) - 1
+        at_item, is_part = (text_at, int(known.items[number])), bool(known.parts[number])
+        if is_part and at_item in best and not best[at_item][0]:
+            continue
         begin, stop = int(starts[text_at]), int(starts[text_at]) + len(texts[text_at])
         left = max(begin, first - k)
         part = joined[left : min(stop, first + 2 * (k + 1) + len(passage) + k)]
@@ -154,11 +182,10 @@ def search(texts: list[str], known: Passages) -> Iterator[tuple[int, int, int, i
         if match is None:
             continue
         end = left + match[1] - begin
-        row = (match[0], max(0, end - len(passage)), end)
-        at_item = (text_at, int(known.items[number]))
+        row = (is_part, match[0], max(0, end - len(passage)), end)
         if at_item not in best or row < best[at_item]:
             best[at_item] = row
-    for (text_at, item), (edits, start, end) in sorted(best.items()):
+    for (text_at, item), (_, edits, start, end) in sorted(best.items()):
         yield text_at, item, edits, start, end
 
 
@@ -192,7 +219,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, edits, start, end`` for every item found in a document.
 
     Places count characters of the normalised text; ``start`` is ``end`` less the
-    item's (or segment's) length.
+    item's (or its segment's or part's) length, and ``edits`` are those of that stretch.
     """
     kind = dict(documents.dtypes)["doc_id"]
     out = None

@@ -399,6 +399,31 @@ def test_passages_are_found_whole_or_edited(spark, real, empty, awkward):
     assert decontaminate.matches(docs, benchmark.limit(0)).count() == 0
 
 
+def test_quotations_of_part_of_an_item_are_found(spark):
+    pick = random.Random(12)
+    size = {0: 390, 1: 390, 2: 1500, 3: 130}
+    items = {k: " ".join(f"w{pick.randint(0, 10**6)}" for _ in range(300))[:n] for k, n in size.items()}
+    least = decontaminate.PART + decontaminate.STRIDE - 1
+    quotes = [(k, text[a : a + least]) for k, text in items.items() for a in range(0, max(1, len(text) - least + 1), 7)]
+    quotes += [(0, items[0][:300]), (1, items[1][-300:]), (3, items[3])]
+    edited = []
+    for k, quote in quotes:
+        letters = list(quote)
+        for at in range(20, len(letters), 40):  # three edits at most in any part
+            letters[at] = "#" if letters[at] == " " else pick.choice(["", "q", letters[at] + "z"])
+        edited.append((k, "".join(letters)))
+    every = quotes + edited
+    docs = spark.createDataFrame([(n, f"other words go first {q} and others last") for n, (_, q) in enumerate(every)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, benchmark).collect()}
+    assert set(got) == {(n, k) for n, (k, _) in enumerate(every)}
+    assert all(r["edits"] == 0 for (n, _), r in got.items() if n < len(quotes))
+    assert decontaminate.clean(docs, benchmark).count() == 0
+    whole = spark.createDataFrame([(1, items[0].replace(items[0][200:203], "")), (2, items[0][:60])], "doc_id long, text string")
+    (one,) = decontaminate.matches(whole, benchmark).collect()
+    assert (one["doc_id"], one["edits"]) == (1, 3) and one["end"] - one["start"] >= 387
+
+
 def test_matches_agree_with_plain_search(spark, real):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = {r["item_id"]: decontaminate.plain(r["text"]) for r in benchmark.collect()}
