@@ -3,8 +3,10 @@
 A page is read as a sequence: each word scores positive, each tag negative, with
 weights from labelled pages (those that mark their article). One linear scan
 finds the contiguous region with the largest sum. Elements that never hold main
-text (scripts, menus, forms, and blocks whose class or id names an advert, a
-notice, comments and the like) take no part and give no text.
+text (scripts, menus, forms) take no part and give no text. Blocks whose class,
+id or role names an advert, a notice, comments and the like are left out too,
+unless main text lies in them (``asides``): layout names (``has-sidebar``) and
+names of an article's own parts (``article-header``) count for nothing.
 
 Inside the region character references are decoded, white space in a block
 becomes one space, and blocks are joined by an empty line. Null, empty and
@@ -19,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,11 +44,21 @@ INLINE = frozenset(
 NOT_MAIN = frozenset("head nav footer aside form button select dialog menu object canvas map".split())
 BOX = frozenset("div section ul ol dl table span figure p details header".split())
 ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|"
-    r"comments?|disqus|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|share|social|related|"
-    r"recommend\w*|newsletter|subscribe|login|search|pager|pagination|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|popup|modal|comments?|disqus|sidebar|"
+    r"menu|nav\w*|breadcrumbs?|footer|share|social|related|recommend\w*|newsletter|subscribe|login|"
+    r"pager|pagination|widget",
     re.I,
 )
+#: Words that also name parts of an article.
+WEAK_NAME = re.compile(r"notices?|side|header|search", re.I)
+ARTICLE_NAME = re.compile(r"article|post|entry|content|main|page|story|body|text", re.I)
+#: Words of a layout that tells of an aside without being one.
+LAYOUT_NAME = re.compile(r"has|have|no|not|with|without|is", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A block with an aside's name is left out up to this share of the words that surround it.
+ASIDE_SHARE = 0.5
+#: One with a weak name, up to so many words.
+WEAK_WORDS = 15
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
     re.S,
@@ -78,18 +91,31 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[at:], ""
 
 
-def is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in RAW or name in NOT_MAIN:
-        return True
-    if name == "header" and not in_article:
-        return True
-    if name in BOX and attributes:
-        return any(ASIDE_NAME.search(v.strip("\"'")) for v in NAMED.findall(attributes))
-    return False
+def never_main(name: str, in_article: bool) -> bool:
+    return name in RAW or name in NOT_MAIN or (name == "header" and not in_article)
 
 
-def parts(page: str) -> Iterator[tuple[str, str, bool]]:
-    """``tokens`` without the elements that are no main text, with whether inside an article."""
+def named_aside(name: str, attributes: str) -> str:
+    """"strong" or "weak" if class, id or role of a block name an aside, else ""."""
+    if name not in BOX or not attributes:
+        return ""
+    found = ""
+    for one in (w for v in NAMED.findall(attributes) for w in v.strip("\"'").split()):
+        words = re.split(r"[-_]+", one)
+        if any(LAYOUT_NAME.fullmatch(w) for w in words):
+            continue
+        if any(ASIDE_NAME.fullmatch(w) for w in words):
+            return "strong"
+        if any(WEAK_NAME.fullmatch(w) for w in words) and not any(ARTICLE_NAME.fullmatch(w) for w in words):
+            found = "weak"
+    return found
+
+
+def parts(page: str) -> Iterator[tuple[str, str, str]]:
+    """``tokens`` without the elements that are no main text; opened ones with their aside's name.
+
+    A token "gone" stands where such an element was.
+    """
     skipped, depth, article = "", 0, 0
     for kind, value, attributes in tokens(page):
         if skipped:
@@ -97,8 +123,6 @@ def parts(page: str) -> Iterator[tuple[str, str, bool]]:
                 depth += 1
             elif kind == "close" and value == skipped:
                 depth -= 1
-            elif skipped == "p" and kind == "open" and value not in INLINE:
-                depth = 0  # a paragraph ends where the next block begins
             elif kind == "close" and value in ("article", "main", "body"):
                 depth = 0  # never closed: it ends with what holds it
             if depth > 0:
@@ -107,12 +131,73 @@ def parts(page: str) -> Iterator[tuple[str, str, bool]]:
             skipped = ""
             if ended_by_itself:
                 continue
-        if kind == "open" and value not in VOID and is_aside(value, attributes, article > 0):
+        if kind == "open" and value not in VOID and never_main(value, article > 0):
             skipped, depth = value, 1
+            yield "gone", value, ""
             continue
         if value in ("article", "main") and kind != "text":
             article += 1 if kind == "open" else -(article > 0)
-        yield kind, value, article > 0
+        yield kind, value, named_aside(value, attributes) if kind == "open" else ""
+
+
+def extents(found: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Where each block, article and main begins and ends (first place after it)."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for at, (kind, value, _) in enumerate(found):
+        if kind in ("open", "gone") and value not in INLINE:
+            for start in opened.pop("p", ()):
+                ends[start] = at  # a paragraph ends where the next block begins
+        if kind == "open" and (value in BOX or value in ("article", "main", "body")):
+            opened.setdefault(value, []).append(at)
+        elif kind == "close" and value in ("article", "main", "body"):
+            first = opened[value].pop() if opened.get(value) else -1
+            for name in opened:
+                while opened[name] and opened[name][-1] > first:
+                    ends[opened[name].pop()] = at  # never closed: it ends with what holds it
+            if first >= 0:
+                ends[first] = at + 1
+        elif kind == "close" and opened.get(value):
+            ends[opened[value].pop()] = at + 1
+    ends |= {start: len(found) for starts in opened.values() for start in starts}
+    return ends
+
+
+def asides(found: list[tuple[str, str, str]], scores: list[float]) -> list[tuple[int, int]]:
+    """Bounds of the blocks that their names leave out.
+
+    Main text is the article or main element with most words, or the best region
+    of a page without any. A block that holds it is kept. Outside a marked
+    article all others go. In it, and on pages that mark none, those go that have
+    few words beside it (beside the page's); with a weak name only short ones
+    without a heading.
+    """
+    if not any(named for *_, named in found):
+        return []
+    ends = extents(found)
+    words = [0, *accumulate(len(v.split()) if k == "text" else 0 for k, v, _ in found)]
+    headings = [0, *accumulate(k == "open" and v in HEADINGS for k, v, _ in found)]
+    marked = [(a, b) for a, b in ends.items() if found[a][1] in ("article", "main")]
+    size, first, last = max(((words[b] - words[a], a, b) for a, b in marked), key=lambda x: (x[0], -x[1]), default=(0, 0, 0))
+    is_marked = size > 0
+    if not is_marked:
+        size, (first, last) = words[-1], region(scores)
+    out, done = [], 0
+    for start, (*_, named) in enumerate(found):
+        if not named or start < done:
+            continue
+        end = ends[start]
+        own = words[end] - words[start]
+        if start <= first and last <= end and last > first:
+            continue
+        if not is_marked or (first <= start and end <= last):
+            if named == "strong" and own > ASIDE_SHARE * size:
+                continue
+            if named == "weak" and (own > WEAK_WORDS or headings[end] > headings[start]):
+                continue
+        out.append((start, end))
+        done = end
+    return out
 
 
 def tag_counts(page: str) -> tuple[Counter, Counter]:
@@ -177,14 +262,18 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
     for kind, value, _ in found:
         if kind == "text":
             scores.append(WORD_SCORE * len(value.split()))
+        elif kind == "gone":
+            scores.append(0.0)
         else:
             scores.append(0.0 if value in ("article", "main", "html", "body") else -costs.get(value, 1.0))
+    for start, end in reversed(asides(found, scores)):
+        del found[start:end], scores[start:end]
     first, last = region(scores)
     blocks, open_block = [], []
     for kind, value, _ in found[first:last]:
         if kind == "text":
             open_block.append(value)
-        elif value not in INLINE:
+        elif kind != "gone" and value not in INLINE:
             blocks.append("".join(open_block))
             open_block = []
         elif value == "br":

@@ -253,6 +253,35 @@ def test_main_text_of_marked_pages(spark):
     assert main_text.learn(nulls) == {}
 
 
+PROSE = "The river rose in the night and the town woke to water in every street of the old quarter."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="content has-sidebar"', 'div class="layout no-sidebar"', 'div id="page-with-menu"', 'div class="sidebar-left"', 'div class="widget"'],
+)
+@pytest.mark.parametrize("marked", [True, False])
+def test_wrappers_named_after_asides_keep_the_text(wrapper, marked):
+    costs = {"p": 0.01, "h1": 0.01, "div": 5.0, "section": 5.0, "li": 20.0, "a": 20.0}
+    inner = f"<h1>Flood</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    inner = f"<article>{inner}</article>" if marked else inner
+    page = f"""<body><nav><a>Home</a></nav><{wrapper}>{inner}<div class="sidebar"><ul><li><a>More news</a></li></ul></div></div>
+      <section class="comments"><p>nice post</p></section></body>"""
+    assert main_text.main_text(page, costs) == f"Flood\n\n{PROSE}\n\n{PROSE}"
+
+
+def test_blocks_of_an_article_named_after_asides_keep_the_text():
+    costs = {"p": 0.01, "h1": 0.01, "h2": 0.01, "div": 1.0, "section": 1.0}
+    page = f"""<body><article><div class="article-header"><h1>Flood</h1><p>Water in town</p></div><p>{PROSE}</p>
+      <section class="search"><h2>The search</h2><p>Two are missing.</p></section><div class="ad">buy now</div>
+      <section class="search"><p>{PROSE}</p></section><div class="search">Search this site</div><p>{PROSE}</p></article>
+      <div class="comments"><article><p>nice</p></article><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div></body>"""
+    want = ["Flood", "Water in town", PROSE, "The search", "Two are missing.", PROSE, PROSE]
+    assert main_text.main_text(page, costs) == "\n\n".join(want)
+    deep = '<div class="ad">' * 20_000 + "one two"
+    assert main_text.main_text(deep, {"div": 0.0}) == "one two"  # read in one pass
+
+
 # Site lines
 
 
