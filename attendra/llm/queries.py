@@ -14,6 +14,7 @@ from attendra.llm import (
     decontaminate,
     jaccard_join,
     main_text,
+    piece_counts,
     quality_rules,
     site_lines,
     token_records,
@@ -141,3 +142,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.group(table(spark, folder, "documents"))
+
+
+@query("op12_piece_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    counted = piece_counts.with_counts(documents, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
