@@ -13,6 +13,7 @@ from attendra.llm import (
     compression_score,
     decontaminate,
     jaccard_join,
+    lexical_search,
     main_text,
     piece_counts,
     quality_rules,
@@ -149,3 +150,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     counted = piece_counts.with_counts(documents, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op13_lexical_search", lexical_search.SQL_TEXT)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
