@@ -16,6 +16,7 @@ from attendra.llm import (
     lexical_search,
     main_text,
     piece_counts,
+    prefix_trie,
     quality_rules,
     site_lines,
     token_records,
@@ -23,7 +24,7 @@ from attendra.llm import (
     toxicity,
 )
 from attendra.llm.common import fold_of, table
-from attendra.sources.storage import new_path
+from attendra.sources.storage import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -155,3 +156,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_lexical_search", lexical_search.SQL_TEXT)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+@query("op11_prefix_trie", prefix_trie.SQL_TEXT)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    whole = materialize(prefix_trie.sequences(table(spark, folder, "conversations")), "sequences")
+    return prefix_trie.nodes(prefix_trie.with_shared_starts(whole))
