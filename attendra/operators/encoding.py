@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attendra import config
+from attendra.sources.versions import VersionedTable
 
 
 def learn_vocab(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,6 +24,28 @@ def learn_vocab(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return labels.withColumn("code", (place - 1).cast("int"))
 
 
+def grow_vocab(stored: VersionedTable, df: DataFrame, columns: Sequence[str]) -> int:
+    """Add the labels of ``df`` that a kept vocabulary lacks; return its version.
+
+    Codes once given never move, so a model trained on an earlier version reads
+    the same codes from a later one: new labels, in order, take the codes behind
+    the last of their feature, in a version of their own. ``encode`` with
+    ``stored.read(version)`` codes as that version knew; a table without new labels
+    publishes none.
+    """
+    learned = learn_vocab(df, columns)
+    known = stored.read()
+    if known is not None:
+        last = known.groupBy("feature").agg(F.max("code").alias("_last"))
+        new = learned.join(known.select("feature", "label"), ["feature", "label"], "left_anti").join(last, "feature", "left")
+        place = F.row_number().over(Window.partitionBy("feature").orderBy("label"))
+        code = F.coalesce(F.col("_last"), F.lit(-1)) + place
+        learned = new.select("feature", "label", code.cast("int").alias("code"))
+    if learned.isEmpty():
+        return stored.version()
+    return stored.append(learned)
+
+
 def fixed_vocab(spark: SparkSession) -> DataFrame:
     """The vocabularies with fixed labels, in the same form.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attendra import config
-from attendra.operators.scoring import SCORE, SCORE_DIGITS, SparkModelScorer
+from attendra.operators.aggregates import latest_period
+from attendra.operators.quality import rank_quality, score_histogram
+from attendra.operators.scoring import SCORE, SCORE_DIGITS, Scorer, SparkModelScorer
 
 
 def sweep(
@@ -96,13 +99,13 @@ def best_threshold(df: DataFrame, label: str = config.LABEL, score: str = SCORE)
     return threshold_curve(df, label, score).orderBy(F.desc("f1"), "threshold").limit(1)
 
 
-def fit(
+def train(
     df: DataFrame,
     inputs: Sequence[str] = config.MODEL_INPUTS,
     label: str = config.LABEL,
     **gbt,
-) -> tuple[PipelineModel, float]:
-    """Train a boosted-tree classifier and find its best-F1 threshold.
+) -> PipelineModel:
+    """A boosted-tree classifier.
 
     Training passes over ``df`` many times, so it should be a stored table.
     """
@@ -113,11 +116,99 @@ def fit(
             GBTClassifier(featuresCol="features", labelCol=label, **settings),
         ]
     )
-    model = pipeline.fit(df)
+    return pipeline.fit(df)
+
+
+def fit(
+    df: DataFrame,
+    inputs: Sequence[str] = config.MODEL_INPUTS,
+    label: str = config.LABEL,
+    **gbt,
+) -> tuple[PipelineModel, float]:
+    """Train on all rows and find the best-F1 threshold on the same ones.
+
+    For figures that hold for new rows use ``fit_held_out``.
+    """
+    model = train(df, inputs, label, **gbt)
     best = best_threshold(SparkModelScorer(model).score(df), label).first()
     return model, best["threshold"] if best else config.RISK_THRESHOLD
 
 
+class PeriodSplit(NamedTuple):
+    """Rows to learn from, to choose a threshold on, and to measure on."""
+
+    learn: DataFrame
+    choose: DataFrame
+    measure: DataFrame
+    period: int
+
+
+def split_by_period(df: DataFrame, period: str = "school_year", last: int | None = None) -> PeriodSplit:
+    """``df`` cut by time: periods before Y-1, the period Y-1, and Y (``last``, default the latest).
+
+    Every row is in one part at most, later ones than Y and those without a
+    period in none. The cuts are filters on the period, so they prune a table
+    partitioned by it. Raises ``ValueError`` where a table has no period at all.
+    """
+    if last is None:
+        last = latest_period(df, period).first()[period]
+        if last is None:
+            raise ValueError(f"no {period} to split by")
+    at = F.col(period)
+    return PeriodSplit(df.filter(at < last - 1), df.filter(at == last - 1), df.filter(at == last), last)
+
+
+def measure_held_out(
+    scored_choose: DataFrame, scored_measure: DataFrame, label: str = config.LABEL, score: str = SCORE
+) -> DataFrame:
+    """One row: the best-F1 threshold of the first rows and how it does on the second.
+
+    Columns are ``threshold``, those of ``evaluate`` and ``auc, brier, base_brier``.
+    """
+    best = best_threshold(scored_choose, label, score).first()
+    threshold = best["threshold"] if best else config.RISK_THRESHOLD
+    confusion = evaluate(scored_measure, label, score, threshold)
+    quality = rank_quality(score_histogram(scored_measure, label, score)).select("auc", "brier", "base_brier")
+    # One row each: they meet on a constant.
+    one = F.lit(1)
+    return (
+        confusion.withColumns({"threshold": F.lit(float(threshold)), "_one": one})
+        .join(quality.withColumn("_one", one), "_one", "left")
+        .drop("_one")
+    )
+
+
+class HeldOut(NamedTuple):
+    """A model with its threshold, the last period learned from, and its figures on the next one."""
+
+    model: PipelineModel
+    threshold: float
+    learned_until: int
+    figures: DataFrame
+
+
+def fit_held_out(
+    df: DataFrame,
+    inputs: Sequence[str] = config.MODEL_INPUTS,
+    label: str = config.LABEL,
+    period: str = "school_year",
+    last: int | None = None,
+    **gbt,
+) -> HeldOut:
+    """Train before the year Y-1, choose the threshold on Y-1, measure on Y.
+
+    ``figures`` are of ``measure_held_out`` with ``period``. Rows of Y are neither
+    learned from nor looked at for the threshold.
+    """
+    parts = split_by_period(df, period, last)
+    model = train(parts.learn, inputs, label, **gbt)
+    scorer: Scorer = SparkModelScorer(model)
+    figures = measure_held_out(scorer.score(parts.choose), scorer.score(parts.measure), label)
+    figures = figures.withColumn(period, F.lit(parts.period))
+    threshold = figures.first()["threshold"]
+    return HeldOut(model, threshold, parts.period - 1, figures)
+
+
 def importance(
     spark: SparkSession,
     model: PipelineModel,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attendra.sources.storage import materialize
+from attendra.sources.versions import VersionedTable
 
 
 def keyed_ids(
@@ -69,3 +70,41 @@ def ordinal_ids(
         name, F.format_string(f"{prefix}-%05d", F.col(number))
     )
     return named.drop(key) if place else named.drop(key, number)
+
+
+def register(registry: VersionedTable, rows: DataFrame, key: str, order: Sequence[Column] | None = None) -> int:
+    """Give every new key of ``rows`` a number and return the registry's version.
+
+    Numbers once given never change: keys already registered are left out by an anti
+    join and new ones continue from the largest number, in ``order`` (default: by a
+    hash of the key, so that numbers tell nothing). Null keys get none. The new
+    numbers are published as a version of their own; where nothing is new, none is.
+    """
+    known = registry.read()
+    new = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    last = 0
+    if known is not None:
+        new = new.join(known.select(key), key, "left_anti")
+        last = known.agg(F.max("number")).first()[0] or 0
+    hashed = [F.md5(F.col(key).cast("string").cast("binary")), F.col(key)]
+    numbered = with_place(new, order or hashed, "number").withColumn("number", F.col("number") + F.lit(last))
+    if numbered.isEmpty():
+        return registry.version()
+    return registry.append(numbered.select(key, "number"))
+
+
+def registered_ids(
+    df: DataFrame,
+    registry: VersionedTable,
+    key: str,
+    prefix: str = "STU",
+    name: str = "student_id",
+    version: int | None = None,
+) -> DataFrame:
+    """Replace ``key`` by its registered id; rows whose key has none raise no error and get a null id."""
+    known = registry.read(version)
+    if known is None:
+        raise ValueError(f"nothing is registered under {registry.path}")
+    text = F.format_string(f"{prefix}-%05d", F.col("number"))
+    numbers = known.select(key, F.when(F.col("number").isNotNull(), text).alias(name))
+    return df.join(numbers, key, "left").drop(key)

@@ -25,15 +25,18 @@ from attendra.operators.windows import lags
 STUDENT, YEAR = "student_key", "school_year"
 
 
-def attendance_years(attendance: DataFrame, until: int | None = None) -> DataFrame:
-    """One row per student and fiscal year: absence sums, rate and flags.
-
-    ``until`` drops later days at the scan; lags never look ahead.
-    """
-    days = attendance
-    if until is not None:
-        days = days.filter(until_fiscal_year("attendance_date", until))
-    sums = period_rollup(
+#: Yearly sum -> column of the attendance table.
+SUMS = {
+    "absent_value_sum": "absent_value",
+    "attendance_value_sum": "attendance_value",
+    "excused_absences": "excused_indicator",
+    "tardy_total": "tardy_indicator",
+}
+
+
+def attendance_sums(days: DataFrame) -> DataFrame:
+    """Sums per student and fiscal year; sums of parts of the days add up."""
+    return period_rollup(
         days.select(
             STUDENT,
             fiscal_year("attendance_date").alias(YEAR),
@@ -44,13 +47,12 @@ def attendance_years(attendance: DataFrame, until: int | None = None) -> DataFra
         ),
         STUDENT,
         YEAR,
-        {
-            "absent_value_sum": "absent_value",
-            "attendance_value_sum": "attendance_value",
-            "excused_absences": "excused_indicator",
-            "tardy_total": "tardy_indicator",
-        },
+        SUMS,
     )
+
+
+def with_rate(sums: DataFrame) -> DataFrame:
+    """Sums with the rate and the flags made of it."""
     rate = attendance_rate("absent_value_sum", "attendance_value_sum")
     return sums.withColumn("attendance_rate", rate).withColumns(
         {
@@ -60,6 +62,17 @@ def attendance_years(attendance: DataFrame, until: int | None = None) -> DataFra
     )
 
 
+def attendance_years(attendance: DataFrame, until: int | None = None) -> DataFrame:
+    """One row per student and fiscal year: absence sums, rate and flags.
+
+    ``until`` drops later days at the scan; lags never look ahead.
+    """
+    days = attendance
+    if until is not None:
+        days = days.filter(until_fiscal_year("attendance_date", until))
+    return with_rate(attendance_sums(days))
+
+
 def student_history(
     years: DataFrame,
     enrollment: DataFrame,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,7 @@ def risk_report(
     scorer: Scorer,
     salt: str | None = None,
     place: str | None = None,
+    store: Callable[[DataFrame, str], DataFrame] = materialize,
     **kwargs,
 ) -> DataFrame:
     """The ordered report with surrogate ids in place of the source key.
@@ -109,10 +110,13 @@ def risk_report(
     they are ordinals in report order, and ``place`` names a column for the
     number itself. Further options are those of ``risk_rows``.
 
+    ``store`` writes the scored rows (stage ``scored``); a ``Checks`` object there takes
+    counts during that write and stops a run whose rows break its rules.
+
     The slim scored rows are stored before they are sorted: a sort samples its
     input first, and would score everything twice.
     """
-    rows = materialize(risk_rows(tables, year, cohort, scorer, **kwargs), "scored")
+    rows = store(risk_rows(tables, year, cohort, scorer, **kwargs), "scored")
     if salt is None:
         number = place or "_number"
         report = ordinal_ids(rows, report_order(STUDENT), STUDENT, place=number).orderBy(number)

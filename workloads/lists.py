@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from attendra.operators import ordering as O
 from attendra.operators.aggregates import scorecard
-from attendra.operators.identity import keyed_ids, ordinal_ids
+from attendra.operators.identity import keyed_ids, ordinal_ids, register, registered_ids
 from attendra.operators.sampling import sample_per, sample_top
+from attendra.sources.storage import new_path
+from attendra.sources.versions import VersionedTable
 from workloads import standin
 from workloads.registry import query
 
@@ -116,3 +118,32 @@ def ordinal(t):
 )
 def keyed(t):
     return keyed_ids(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey", "pepper")
+
+
+@query(
+    "id1_registry",
+    """WITH first AS (
+        SELECT DISTINCT o_custkey AS c_custkey, 1 AS run FROM orders WHERE o_orderdate < DATE '1996-01-01'),
+    every AS (
+        SELECT c_custkey, COALESCE(run, 2) AS run FROM customer LEFT JOIN first USING (c_custkey)),
+    numbered AS (
+        SELECT c_custkey, run, row_number() OVER (ORDER BY run, md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS number
+        FROM every)
+    SELECT asked.run, c_custkey, CASE WHEN numbered.run <= asked.run THEN 'STU-' || lpad(CAST(number AS VARCHAR),
+        CAST(greatest(5, length(CAST(number AS VARCHAR))) AS INTEGER), '0') END AS student_id
+    FROM numbered, (SELECT unnest([1, 2]) AS run) asked""",
+)
+def registered(t):
+    """Two runs: customers of the first year, then all; ids as either version knows them."""
+    registry = VersionedTable(t.spark, new_path(t.spark, "registry"))
+    early = t.orders.filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("date"))
+    first = register(registry, early.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    second = register(registry, t.customer, "c_custkey")
+    people = t.customer.select("c_custkey", F.col("c_custkey").alias("_key"))
+    named = [
+        registered_ids(people, registry, "c_custkey", version=version).select(
+            F.lit(run).alias("run"), F.col("_key").alias("c_custkey"), "student_id"
+        )
+        for run, version in ((1, first), (2, second))
+    ]
+    return named[0].unionByName(named[1])
