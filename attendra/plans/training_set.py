@@ -13,6 +13,7 @@ from attendra.operators.filters import in_period, with_history
 from attendra.operators.joins import lookup, lookup_unique
 from attendra.operators.sampling import sample_per, sample_top
 from attendra.plans.features import STUDENT, YEAR, attendance_years, feature_rows, student_history
+from attendra.sources.storage import materialize
 
 COLUMNS = (STUDENT, YEAR, *config.NUMERIC_FEATURES, *config.CATEGORY_FEATURES, config.LABEL)
 
@@ -33,6 +34,24 @@ def training_set(
     return feature_rows(spine, tables, patterns).select(*COLUMNS)
 
 
+def latest_training_rows(
+    tables: Mapping[str, DataFrame],
+    years: DataFrame | None = None,
+    patterns: Mapping[str, str] = config.CONDITION_PATTERNS,
+    **history_options,
+) -> DataFrame:
+    """The rows of ``training_set`` of its most recent year.
+
+    Only the slim history of all years is stored to find that year; features
+    are put together for its students alone.
+    """
+    years = attendance_years(tables["attendance"]) if years is None else years
+    history = student_history(years, tables["enrollment"], **history_options)
+    spine = materialize(with_history(history, "attendance_rate_t_minus_1"), "history")
+    latest = latest_period(spine, YEAR).first()[YEAR]
+    return feature_rows(in_period(spine, YEAR, latest), tables, patterns).select(*COLUMNS)
+
+
 def latest_with_school(rows: DataFrame, enrollment: DataFrame, school: DataFrame) -> DataFrame:
     """Rows of the most recent year with the student's school code of that year.
 

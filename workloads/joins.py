@@ -56,7 +56,7 @@ def scope(t):
         "school_year",
         standin.TARGET_YEAR,
     )
-    inside = students_in_scope(standin.tables(t), standin.TARGET_YEAR, standin.COHORT)
+    inside = students_in_scope(standin.batch_tables(t), standin.TARGET_YEAR, standin.COHORT)
     return J.scope(years, inside).select(
         "student_key",
         "school_year",
@@ -68,23 +68,30 @@ def scope(t):
 
 @query(
     "jn4_lookup",
-    """SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem
-    LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON l_partkey = p_partkey""",
+    """SELECT l_orderkey, l_linenumber, key AS l_partkey, p_name FROM (
+        SELECT *, CASE WHEN l_linenumber > 5 THEN -1 - l_partkey ELSE l_partkey END AS key FROM lineitem)
+    LEFT JOIN part ON key = p_partkey""",
 )
 def lookup(t):
-    dim = t.part.filter("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return J.lookup(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), dim, "l_partkey")
+    dim = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return J.lookup(_unknown_on_late_lines(t, "l_partkey"), dim, "l_partkey")
+
+
+def _unknown_on_late_lines(t, key):
+    """All order lines; those after the fifth of an order name a key that no dimension has."""
+    unknown = F.when(F.col("l_linenumber") > 5, -1 - F.col(key)).otherwise(F.col(key))
+    return t.lineitem.select("l_orderkey", "l_linenumber", unknown.alias(key))
 
 
 @query(
     "jn4_salted_lookup",
-    """SELECT l_suppkey, s_name, COUNT(*) AS n FROM lineitem
-    LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey GROUP BY 1, 2""",
+    """SELECT key AS l_suppkey, s_name, COUNT(*) AS n FROM (
+        SELECT CASE WHEN l_linenumber > 5 THEN -1 - l_suppkey ELSE l_suppkey END AS key FROM lineitem)
+    LEFT JOIN supplier ON key = s_suppkey GROUP BY 1, 2""",
 )
 def salted_lookup(t):
-    dim = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
-    joined = J.salted_lookup(rows, dim, "l_suppkey", salts=4)
+    dim = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    joined = J.salted_lookup(_unknown_on_late_lines(t, "l_suppkey"), dim, "l_suppkey", salts=4)
     return joined.groupBy("l_suppkey", "s_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,24 +129,25 @@ def _years(t):
 
 
 def _moved(t):
-    """School moves under a key of another name."""
+    """School moves under keys of other names; every third student's key is another one."""
     counted = moves(standin.enrollment(t), "student_key", "school_year", "school_key")
+    key = F.col("student_key")
     return counted.select(
-        F.col("student_key").alias("pupil"),
+        F.when(key % 3 == 0, -1 - key).otherwise(key).alias("pupil"),
         F.col("school_year").alias("term"),
         "school_transfers_this_year",
-    ).filter(F.col("school_transfers_this_year") > 2)
+    )
 
 
-MOVED_SQL = f"{standin.YEARS_SQL}, {standin.ENROLLMENT_SQL}, {standin.MOBILITY_SQL}"
+MOVED_SQL = f"""{standin.YEARS_SQL}, {standin.ENROLLMENT_SQL}, {standin.MOBILITY_SQL}, renamed AS (
+    SELECT *, CASE WHEN student_key % 3 = 0 THEN -1 - student_key ELSE student_key END AS pupil FROM moved)"""
 
 
 @query(
     "jn6_join_on",
     f"""WITH {MOVED_SQL}
     SELECT y.student_key, y.school_year, m.school_transfers_this_year
-    FROM years y LEFT JOIN (SELECT * FROM moved WHERE school_transfers_this_year > 2) m
-      ON y.student_key = m.student_key AND y.school_year = m.school_year""",
+    FROM years y LEFT JOIN renamed m ON y.student_key = m.pupil AND y.school_year = m.school_year""",
 )
 def join_on(t):
     return J.join_on(_years(t), _moved(t), {"student_key": "pupil", "school_year": "term"})
@@ -149,8 +157,7 @@ def join_on(t):
     "jn7_join_prior",
     f"""WITH {MOVED_SQL}
     SELECT y.student_key, y.school_year, m.school_transfers_this_year
-    FROM years y LEFT JOIN (SELECT * FROM moved WHERE school_transfers_this_year > 2) m
-      ON y.student_key = m.student_key AND y.school_year - 1 = m.school_year""",
+    FROM years y LEFT JOIN renamed m ON y.student_key = m.pupil AND y.school_year - 1 = m.school_year""",
 )
 def join_prior(t):
     moved = _moved(t).withColumnsRenamed({"pupil": "student_key", "term": "school_year"})

@@ -140,21 +140,19 @@ def slim_report(t):
 PARTLY_SQL = """partly AS (
     SELECT c_custkey, rate_value, n_value, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS text_value
     FROM customer LEFT JOIN (
-        SELECT o_custkey, CAST(COUNT(*) AS DOUBLE) / 100 AS rate_value, COUNT(*) AS n_value
-        FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey)"""
+        SELECT o_custkey, CASE WHEN COUNT(*) % 3 > 0 THEN CAST(COUNT(*) AS DOUBLE) / 100 END AS rate_value,
+               CASE WHEN COUNT(*) % 2 > 0 THEN COUNT(*) END AS n_value
+        FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
 
 def partly(t):
-    urgent = (
-        t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(
-            (F.count(F.lit(1)).cast("double") / 100).alias("rate_value"),
-            F.count(F.lit(1)).alias("n_value"),
-        )
+    """Customers with values of all their orders, unknown for some counts."""
+    n = F.count(F.lit(1))
+    ordered = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.when(n % 3 > 0, n.cast("double") / 100).alias("rate_value"), F.when(n % 2 > 0, n).alias("n_value")
     )
     text = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))
-    return t.customer.select("c_custkey", text.alias("text_value")).join(urgent, "c_custkey", "left")
+    return t.customer.select("c_custkey", text.alias("text_value")).join(ordered, "c_custkey", "left")
 
 
 @query(
@@ -170,11 +168,11 @@ def filled(t):
 @query(
     "prj10_coalesce_label",
     """SELECT c_custkey, COALESCE(n_name, c_mktsegment) AS network FROM customer
-    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 2) ON c_nationkey = n_nationkey""",
+    LEFT JOIN nation ON n_nationkey = CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END""",
 )
 def network_or_governance(t):
-    named = t.nation.filter(F.col("n_regionkey") == 2)
-    joined = t.customer.join(named, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    known = F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey"))
+    joined = t.customer.join(t.nation, known == F.col("n_nationkey"), "left")
     return joined.select("c_custkey", C.coalesce_label("n_name", "c_mktsegment").alias("network"))
 
 

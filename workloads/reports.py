@@ -33,7 +33,7 @@ REPORT_SQL = f"""WITH {standin.BATCH_FEATURES_SQL}, scored AS (
 )
 def risk_report(t):
     report = R.risk_report(
-        standin.tables(t),
+        standin.batch_tables(t),
         standin.TARGET_YEAR,
         standin.COHORT,
         standin.SCORER,
@@ -52,7 +52,7 @@ def risk_report(t):
 )
 def risk_report_ordinal(t):
     report = R.risk_report(
-        standin.tables(t),
+        standin.batch_tables(t),
         standin.TARGET_YEAR,
         standin.COHORT,
         standin.SCORER,
@@ -98,9 +98,9 @@ SAMPLE_ORDER = "md5(CAST(student_key AS VARCHAR) || '|42'), student_key"
 
 
 def _placing(t):
-    """Stored training rows, and the domain tables that place them."""
+    """Training rows of the latest year, stored, and the domain tables that place them."""
     tables = standin.tables(t)
-    return materialize(S.training_set(tables, patterns=standin.PATTERNS), "training"), tables
+    return materialize(S.latest_training_rows(tables, patterns=standin.PATTERNS), "training"), tables
 
 
 @query(
@@ -131,15 +131,18 @@ def network_sample(t):
     return sample.select("student_key", "school_year", "school_code", "school_name", "network")
 
 
-# The school file knows the networks of three regions only.
+# The school file names the schools of two regions in another way.
 NETWORKS_SQL = f"""{standin.SCORED_SQL}, networked AS (
     SELECT scored.*, COALESCE('Network ' || CAST(n_regionkey AS VARCHAR), governance) AS network
-    FROM scored LEFT JOIN nation ON n_name = school_name AND n_regionkey < 3)"""
+    FROM scored LEFT JOIN (
+        SELECT n_regionkey, CASE WHEN n_regionkey < 3 THEN n_name ELSE n_name || ' (moved)' END AS listed FROM nation)
+    ON listed = school_name)"""
 
 
 def networked(t):
-    listing = t.nation.filter("n_regionkey < 3").select(
-        F.col("n_name").alias("school_name"),
+    moved = F.when(F.col("n_regionkey") < 3, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" (moved)")))
+    listing = t.nation.select(
+        moved.alias("school_name"),
         F.concat(F.lit("Network "), F.col("n_regionkey").cast("string")).alias("network"),
     )
     return N.with_networks(standin.scored(t), listing)

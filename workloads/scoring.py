@@ -23,7 +23,7 @@ from workloads.registry import query
 def features(t):
     """Batch feature rows of the target year."""
     return scoped_features(
-        standin.tables(t), standin.TARGET_YEAR, standin.COHORT, patterns=standin.PATTERNS
+        standin.batch_tables(t), standin.TARGET_YEAR, standin.COHORT, patterns=standin.PATTERNS
     )
 
 
@@ -41,13 +41,15 @@ def learn_vocab(t):
     "ml1_encode",
     """WITH codes AS (
         SELECT p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS code
-        FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 5))
+        FROM (SELECT DISTINCT p_brand FROM part))
     SELECT p_partkey, COALESCE(code, CAST((SELECT MAX(code) + 1 FROM codes) AS INTEGER)) AS p_brand_index
-    FROM part LEFT JOIN codes USING (p_brand)""",
+    FROM part LEFT JOIN codes ON codes.p_brand = CASE WHEN p_size < 5 THEN 'New ' || part.p_brand ELSE part.p_brand END""",
 )
 def encode(t):
-    vocab = materialize(E.learn_vocab(t.part.filter("p_size < 5"), ["p_brand"]), "vocab")
-    return E.encode(t.part.select("p_partkey", "p_brand"), vocab, ["p_brand"]).drop("p_brand")
+    """All brands are known; small parts carry labels that are not."""
+    vocab = materialize(E.learn_vocab(t.part, ["p_brand"]), "vocab")
+    label = F.when(F.col("p_size") < 5, F.concat(F.lit("New "), "p_brand")).otherwise(F.col("p_brand"))
+    return E.encode(t.part.select("p_partkey", label.alias("p_brand")), vocab, ["p_brand"]).drop("p_brand")
 
 
 @query(
@@ -147,7 +149,7 @@ INDEXED = LogisticScorer(
 def scores_indexed(t):
     vocab = materialize(E.learn_vocab(standin.student(t), config.CATEGORY_FEATURES), "vocab")
     rows = risk_rows(
-        standin.tables(t),
+        standin.batch_tables(t),
         standin.TARGET_YEAR,
         standin.COHORT,
         INDEXED,
@@ -315,9 +317,8 @@ def scored_training(t):
 def quality_sql(source: str, by: str) -> str:
     """AUC by ranks with ties, and Brier scores, straight from the rows."""
     return f"""ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY risk_score)
-                  + (COUNT(*) OVER (PARTITION BY {by}, risk_score) + 1) / 2
-                  - row_number() OVER (PARTITION BY {by}, risk_score ORDER BY risk_score) AS place
+        SELECT *, rank() OVER (PARTITION BY {by} ORDER BY risk_score)
+                  + (COUNT(*) OVER (PARTITION BY {by}, risk_score) - 1) / 2 AS place
         FROM {source} WHERE risk_score IS NOT NULL AND label IS NOT NULL),
     quality AS (
         SELECT {by}, COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS positives,
@@ -427,7 +428,7 @@ def stored_model(t):
     save_bundle(bundle(standin.SCORER, 0.45, learned_until=standin.TARGET_YEAR - 1), t.spark, path)
     kept = load_bundle(t.spark, path)
     rows = bundle_rows(
-        standin.tables(t), standin.TARGET_YEAR, standin.COHORT, kept, patterns=standin.PATTERNS
+        standin.batch_tables(t), standin.TARGET_YEAR, standin.COHORT, kept, patterns=standin.PATTERNS
     )
     return rows.select("student_key", "risk_score", "risk_tier")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attendra.functions.columns import attendance_rate, fiscal_year
+from attendra.operators.filters import in_year_of
+from attendra.operators.joins import broadcast_if_small
 from attendra.operators.scoring import LogisticScorer
 from attendra.sources.storage import materialize
 from workloads.registry import Tables
@@ -53,18 +55,20 @@ def days(t: Tables) -> DataFrame:
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+DAY_COLUMNS = [
+    "o_custkey",
+    "o_orderdate",
+    "l_suppkey",
+    "l_partkey",
+    "l_linenumber",
+    "l_returnflag",
+    "l_linestatus",
+]
+
+
 def stored_days(t: Tables) -> DataFrame:
-    """``days`` joined and written once, for plans reading several facts off it."""
-    needed = [
-        "o_custkey",
-        "o_orderdate",
-        "l_suppkey",
-        "l_partkey",
-        "l_linenumber",
-        "l_returnflag",
-        "l_linestatus",
-    ]
-    return materialize(days(t).select(needed), "days")
+    """``days`` joined and written once, for plans reading several facts of all students off it."""
+    return materialize(days(t).select(DAY_COLUMNS), "days")
 
 
 DAYS_SQL = "days AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -233,9 +237,10 @@ MEDICAL_SQL = """medical AS (
 
 
 def health_indicator(t: Tables) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select(
-        F.col("o_custkey").alias("student_key"),
+    """A row per order; those of every fourth customer name a student nobody knows."""
+    status, key = F.col("o_orderstatus"), F.col("o_custkey")
+    return t.orders.select(
+        F.when(key % 4 == 0, -1 - key).otherwise(key).alias("student_key"),
         F.when(status == "F", "Y").otherwise("N").alias("immunizations_compliant_indicator"),
         F.when(F.col("o_totalprice") > 150000, "Yes").alias("health_exams_compliant_indicator"),
         (F.col("o_totalprice") > 250000).cast("int").alias("dental_compliant_indicator"),
@@ -248,12 +253,12 @@ COMPLIANCE_SQL = """compliance AS (
     SELECT student_key, immunizations_compliant, health_exams_compliant, dental_compliant,
            vision_compliant
     FROM (
-        SELECT o_custkey AS student_key,
+        SELECT CASE WHEN o_custkey % 4 = 0 THEN -1 - o_custkey ELSE o_custkey END AS student_key,
                CAST(o_orderstatus = 'F' AS INTEGER) AS immunizations_compliant,
                CAST(o_totalprice > 150000 AS INTEGER) AS health_exams_compliant,
                CAST(o_totalprice > 250000 AS INTEGER) AS dental_compliant,
                CAST(o_orderstatus = 'O' AS INTEGER) AS vision_compliant
-        FROM orders WHERE o_orderpriority = '1-URGENT'
+        FROM orders
     )
     QUALIFY row_number() OVER (PARTITION BY student_key ORDER BY immunizations_compliant,
         health_exams_compliant DESC, dental_compliant, vision_compliant) = 1
@@ -273,8 +278,32 @@ MEDICAID_SQL = """medicaid AS (
 )"""
 
 
+def scope_keys(t: Tables, year: int, cohort: str) -> DataFrame:
+    """Customers with a first line at a cohort supplier in the fiscal year, stored."""
+    schools = membership(t).join(cohort_of(t, cohort), "cohort_school_key", "left_semi")
+    first = t.lineitem.filter("l_linenumber = 1").join(schools, F.col("l_suppkey") == F.col("school_key"), "left_semi")
+    orders = in_year_of(t.orders, "o_orderdate", year)
+    keys = first.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey").distinct()
+    return materialize(keys, "scope-keys")
+
+
+def cohort_of(t: Tables, name: str) -> DataFrame:
+    return cohort(t).filter(F.col("cohort_name") == name)
+
+
+def batch_tables(t: Tables, year: int = TARGET_YEAR, cohort: str = COHORT) -> dict[str, DataFrame]:
+    """``tables`` whose facts are cut to the students of one batch before they are joined and stored."""
+    keys = scope_keys(t, year, cohort)
+    orders = t.orders.join(broadcast_if_small(keys), "o_custkey", "left_semi")
+    lines = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _tables(t, materialize(lines.select(DAY_COLUMNS), "days"))
+
+
 def tables(t: Tables) -> dict[str, DataFrame]:
-    lines = stored_days(t)
+    return _tables(t, stored_days(t))
+
+
+def _tables(t: Tables, lines: DataFrame) -> dict[str, DataFrame]:
     return {
         "attendance": attendance(t, lines),
         "student": student(t),

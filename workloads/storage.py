@@ -254,7 +254,7 @@ def observed(t):
     rules = {"some rows": lambda m: m["n"] > 0, "all scored": lambda m: m["unscored"] == 0}
     checks = Checks({"scored": scored}, {"scored": rules})
     risk_report(
-        standin.tables(t),
+        standin.batch_tables(t),
         standin.TARGET_YEAR,
         standin.COHORT,
         standin.SCORER,
