@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attendra import config
+from attendra.operators.joins import lookup, salted_lookup
 from attendra.sources.versions import VersionedTable
 
+#: Copies of a vocabulary too large to broadcast.
+SALTS = 16
+
 
 def learn_vocab(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows (feature, label, code): labels in order, code = position.
@@ -67,7 +71,8 @@ def encode(
     A label outside the vocabulary gets the code of ``fallback``; where the
     vocabulary has no such label, the next free code. A column without labels in
     the vocabulary and a label listed twice raise ``ValueError``. ``vocab`` is
-    read once per column and more, so it should be a file or a stored table.
+    read once per column and more, so it should be a file or a stored table. Beyond
+    the broadcast limits a label's rows are salted, as one label may be most rows'.
     """
     used = vocab.filter(F.col("feature").isin(*columns))
     summary = {
@@ -96,9 +101,9 @@ def encode(
         codes = used.filter(F.col("feature") == c).select(
             F.col("label").alias(c), F.col("code").alias("_code")
         )
+        joined = lookup(df, F.broadcast(codes), c) if small else salted_lookup(df, codes, c, SALTS)
         df = (
-            df.join(F.broadcast(codes) if small else codes, c, "left")
-            .withColumn(c + suffix, F.coalesce("_code", F.lit(unseen)).cast("int"))
+            joined.withColumn(c + suffix, F.coalesce("_code", F.lit(unseen)).cast("int"))
             .drop("_code")
         )
     return df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attendra import config
+from attendra.operators.joins import duplicate_keys
 from attendra.operators.scoring import SCORE, Neutrals, RowScorer, Scorer, rederive
 
 
@@ -57,7 +58,12 @@ def _within_rows(base: DataFrame, scorer: RowScorer, keys: list[str], neutrals:
 
 
 def _by_rescoring(base: DataFrame, scorer: Scorer, keys: list[str], neutrals: Neutrals) -> DataFrame:
-    """For any other scorer: one row per change, scored in one pass and regrouped."""
+    """For any other scorer: one row per change, scored in one pass and regrouped.
+
+    A key that names several rows raises ``ValueError``: their effects would mix in one list.
+    """
+    if not duplicate_keys(base, keys).isEmpty():
+        raise ValueError(f"{', '.join(keys)} does not tell the rows apart")
     cases = F.explode(F.array(*(F.lit(f) for f in neutrals))).alias("factor")
     rows = base.withColumnRenamed(SCORE, "base_score").select("*", cases)
     types = dict(base.dtypes)
@@ -68,5 +74,5 @@ def _by_rescoring(base: DataFrame, scorer: Scorer, keys: list[str], neutrals: Ne
         inputs[name] = F.when(F.col("factor") == factor, changed).otherwise(other)
     rescored = scorer.score(rederive(rows.withColumns(inputs)))
     effect = _effect(F.col("factor"), F.col("base_score") - F.col(SCORE))
-    # A list holds one element per factor.
+    # A list holds one element per factor, as keys are unique.
     return rescored.groupBy(*keys).agg(F.collect_list(effect).alias("effects"))

@@ -186,3 +186,27 @@ def test_lists_tell_their_positions(spark):
     df = spark.createDataFrame([(f"Network {n}",) for n in (10, 2, 33, 2)] + [("ALOP",)], "n string")
     got = O.ordered_labels(df.repartition(4), "n", place="place").collect()
     assert [tuple(r) for r in got] == [("Network 2", 1), ("Network 10", 2), ("Network 33", 3), ("ALOP", 4)]
+
+
+def test_vocabularies_too_large_to_broadcast_are_salted(spark, monkeypatch):
+    from attendra.operators import encoding as E
+
+    df = spark.createDataFrame([(i, "a" if i % 3 else f"l{i}") for i in range(60)] + [(60, None)], "k int, f string")
+    vocab = E.learn_vocab(df.filter("k < 50"), ["f"])
+    want = {r["k"]: r["f_index"] for r in E.encode(df, vocab, ["f"]).collect()}
+    monkeypatch.setattr(E.config, "BROADCAST_ROWS", 1)
+    salted = E.encode(df, vocab, ["f"])
+    assert {r["k"]: r["f_index"] for r in salted.collect()} == want and salted.count() == 61
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+
+
+def test_rescoring_needs_unique_keys(spark):
+    from attendra.operators.explain import contributions
+
+    class Plain:
+        def score(self, df):
+            return df.withColumn("risk_score", F.col("rate") * 0.5)
+
+    df = spark.createDataFrame([(1, 0.4), (1, 0.6)], "k int, rate double")
+    with pytest.raises(ValueError, match="tell the rows apart"):
+        contributions(df, Plain(), "k", {"Rate": ("rate", 1.0)})

@@ -260,3 +260,33 @@ def test_network_labels_rank_and_follow_up(spark):
     assert N.school_ranking(named, 0.6, n=2).count() == 2
     first = N.follow_up_table(named).first()
     assert (first.urgency, first.race, first.grade) == ("Urgent", "Not Specified", "Grade 1")
+
+
+def test_the_network_page_scores_once_and_prunes(spark, tmp_path):
+    rows = [
+        (1, "S1", "G", 0.41), (2, "S1", "G", 0.61), (3, "S2", "G", 0.9), (4, "S2", "G", None), (5, None, "H", 0.1), (6, "S3", None, 0.5)
+    ]
+    scored = spark.createDataFrame(rows, "student_id int, school_name string, governance string, risk_score double").withColumns(
+        {c: F.lit(None).cast("string") for c in ("grade", "gender", "race")} | {"prior_yr_attendance": F.lit(0.5)}
+    )
+    listing = spark.createDataFrame([("S1", "Network 10"), ("S2", "Network 2"), ("S2", "Network 3")], "school_name string, network string")
+    N.keep_page(scored, listing, str(tmp_path / "page"))
+    page = N.open_page(spark, str(tmp_path / "page"))
+    cards = {(r.threshold, r.level, r.network, r.school_name): r for r in page.cards([0.4, 0.5]).collect()}
+    whole = cards[0.5, 0, None, None]
+    assert (whole.total, whole.atrisk, whole.urgent, whole.safe, whole.place) == (6, 3, 2, 3, 1)
+    assert (cards[0.4, 1, "Network 10", None].atrisk, cards[0.5, 1, "Network 10", None].atrisk) == (2, 1)
+    assert (cards[0.4, 2, "Network 2", "S2"].total, cards[0.4, 2, "Network 2", "S2"].atrisk) == (2, 1)
+    assert cards[0.4, 2, "H", None].total == 1 and cards[0.5, 2, None, "S3"].band == "HIGH NEED"
+    assert [cards[0.4, 1, n, None].place for n in ("Network 10", "Network 2", None)] == [1, 3, 2]
+    assert {(r.network, r.school_name) for r in page.options().collect()} == {("Network 10", "S1"), ("Network 2", "S2")}
+    found = page.list("Network 10", "S1", 0.4)
+    assert [r.student_id for r in found.collect()] == [2, 1]
+    assert "PartitionFilters: [isnotnull(network" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_training_rows_are_those_of_the_training_set(domain):
+    whole = S.training_set(domain)
+    latest = S.latest_training_rows(domain)
+    want = whole.filter(F.col("school_year") == 2025)
+    assert sorted(map(tuple, latest.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 0

@@ -9,7 +9,7 @@ from attendra.plans import network_report as N
 from attendra.plans import risk_report as R
 from attendra.plans import training_set as S
 from attendra.plans.what_if import from_display, score_profiles
-from attendra.sources.storage import materialize
+from attendra.sources.storage import materialize, new_path
 from workloads import standin
 from workloads.registry import query
 
@@ -169,6 +169,47 @@ def school_ranking(t):
     return N.school_ranking(view).withColumn("rate", F.round("rate", 6))
 
 
+def _page(t):
+    """The network page, kept once."""
+    path = new_path(t.spark, "page")
+    moved = F.when(F.col("n_regionkey") < 3, F.col("n_name")).otherwise(F.concat("n_name", F.lit(" (moved)")))
+    network = F.concat(F.lit("Network "), F.col("n_regionkey").cast("string"))
+    listing = t.nation.select(moved.alias("school_name"), network.alias("network"))
+    N.keep_page(standin.scored(t), listing, path)
+    return N.open_page(t.spark, path)
+
+
+@query(
+    "network_view",
+    f"""WITH {NETWORKS_SQL}, cards AS (
+        SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(2 - GROUPING(network) - GROUPING(school_name) AS INTEGER) AS level,
+               network, school_name, COUNT(*) AS total, CAST(count_if(risk_score >= threshold) AS BIGINT) AS atrisk,
+               CAST(count_if(risk_score >= 0.6) AS BIGINT) AS urgent
+        FROM networked, (SELECT unnest([0.4, 0.5, 0.6]) AS threshold)
+        GROUP BY GROUPING SETS ((threshold), (threshold, network), (threshold, network, school_name)))
+    SELECT *, total - atrisk AS safe, round(atrisk / total, 6) AS share,
+        CASE WHEN atrisk / total >= 0.40 THEN 'HIGH NEED' WHEN atrisk / total >= 0.25 THEN 'MODERATE' END AS band,
+        CAST(row_number() OVER (PARTITION BY threshold, level, CASE WHEN level = 2 THEN network END
+            ORDER BY atrisk DESC, CASE WHEN level = 2 THEN school_name ELSE network END) AS INTEGER) AS place
+    FROM cards""",
+)
+def network_view(t):
+    """All cards of the page from one kept scoring."""
+    return _page(t).cards().withColumn("share", F.round("share", 6))
+
+
+@query(
+    "network_list",
+    f"""WITH {NETWORKS_SQL}
+    SELECT CASE WHEN risk_score >= 0.6 THEN 'Urgent' ELSE 'Follow Up' END AS urgency, student_id, school_name AS school,
+        CAST(CAST(round_even(risk_score * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS likelihood
+    FROM networked WHERE risk_score >= 0.5 AND network = 'Network 2'""",
+)
+def network_list(t):
+    """One network's follow-up list, read from its partition."""
+    return _page(t).list("Network 2").select("urgency", "student_id", "school", "likelihood")
+
+
 @query(
     "follow_up_table",
     f"""WITH {standin.SCORED_SQL}
