@@ -51,8 +51,10 @@ MASK = 0xA282EAD8
 HEAD = "<qBB"
 ENTRY = "<qBQQQ"
 FILE_BYTES = 16 << 20
-#: Chunks remembered per Python worker.
-CACHE = 600_000
+#: Chunks after which a Python worker's cache starts a new generation; it keeps two. Longer chunks
+#: are remembered for their batch only.
+CACHE = 300_000
+LONGEST = 256
 #: Cuts where the tokenizer's own pattern always cuts: before a blank or line feed
 #: that follows a visible character, and between a letter or digit and a full stop
 #: or comma, never inside the string of a special token. Texts are then encoded
@@ -65,6 +67,30 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
+class Known(dict):
+    """Chunk -> place of its ids. Asking for a new chunk gives it a place and lists it in ``fresh``.
+
+    ``old`` is the generation before: what is still in use moves over from it.
+    """
+
+    def __init__(self, old: Known | None = None):
+        self.ids: list[bytes | None] = []
+        self.fresh: list[str] = []
+        self.old = old
+        if old is not None:
+            old.old = None
+
+    def __missing__(self, chunk: str) -> int:
+        place = self[chunk] = len(self.ids)
+        before = None if self.old is None else self.old.get(chunk)
+        if before is None:
+            self.fresh.append(chunk)
+            self.ids.append(None)
+        else:
+            self.ids.append(self.old.ids[before])
+        return place
+
+
 class Encoder:
     """Ids by the tokenizers library; repeated chunks are encoded once per worker."""
 
@@ -80,23 +106,27 @@ class Encoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         # A normalizer may make a special token's string of another one.
         self.special = re.compile("" if self.tokenizer.normalizer else "|".join(special) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        chunks = [CHUNK.findall(t or "") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        missing = {c for row in chunks for c in row if c not in known}
-        special = {c for c in missing if self.special.search(c)}
-        for tokenizer, some in ((self.ordinary, list(missing - special)), (self.tokenizer, list(special))):
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                for chunk, one in zip(part, found):
-                    known[chunk] = array("I", one.ids).tobytes()
-        look = known.__getitem__
-        return [np.frombuffer(b"".join(map(look, row)), "<u4") for row in chunks]
+            self.known = Known(self.known)
+        known, special = self.known, self.special.search
+        # One look into the large table for every chunk; ids are then found by place.
+        rows = [list(map(known.__getitem__, CHUNK.findall(t or ""))) for t in texts]
+        fresh, known.fresh = known.fresh, []
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            for chunk, one in zip(part, self.ordinary.encode_batch_fast(part, add_special_tokens=False)):
+                known.ids[known[chunk]] = array("I", one.ids).tobytes()
+        if any(t and special(t) for t in texts):  # else no chunk can hold the string of a special token
+            for chunk in filter(special, fresh):
+                known.ids[known[chunk]] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        out = [np.frombuffer(b"".join(map(known.ids.__getitem__, row)), "<u4") for row in rows]
+        for chunk in fresh:
+            if len(chunk) > LONGEST:
+                known.ids[known.pop(chunk)] = None
+        return out
 
 
 @lru_cache(maxsize=2)
