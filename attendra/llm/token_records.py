@@ -61,6 +61,13 @@ LONGEST = 256
 #: piece by piece.
 CHUNK = re.compile(r"\s*[^\W_]+(?![^\s.,])|\s*\S+(?:[^ \n\S]\s*\S+)*|\s+")
 
+#: A blank and Latin letters: one piece for a byte-level tokenizer's pattern, whatever stands around it.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Fixed values of byte-level vocabularies: visible bytes stand for themselves, the others, in order, for
+#: the signs from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -106,8 +113,18 @@ class Encoder:
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         # A normalizer may make a special token's string of another one.
         self.special = re.compile("" if self.tokenizer.normalizer else "|".join(special) or r"(?!)")
+        self.model = self._word_model()
         self.known = Known()
 
+    def _word_model(self):
+        """The library's merges alone, where a word passes the steps before them as one piece; else None."""
+        from tokenizers import models, pre_tokenizers
+
+        before, model = self.ordinary.pre_tokenizer, self.ordinary.model
+        bytewise = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+        plain = self.ordinary.normalizer is None and isinstance(model, models.BPE) and model.dropout is None
+        return model if bytewise and plain else None
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known = Known(self.known)
@@ -115,8 +132,17 @@ class Encoder:
         # One look into the large table for every chunk; ids are then found by place.
         rows = [list(map(known.__getitem__, CHUNK.findall(t or ""))) for t in texts]
         fresh, known.fresh = known.fresh, []
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        other = fresh
+        if self.model is not None:
+            other = []
+            for chunk in fresh:
+                if WORD.fullmatch(chunk):
+                    found = self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_SIGNS))
+                    known.ids[known[chunk]] = array("I", [t.id for t in found]).tobytes()
+                else:
+                    other.append(chunk)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             for chunk, one in zip(part, self.ordinary.encode_batch_fast(part, add_special_tokens=False)):
                 known.ids[known[chunk]] = array("I", one.ids).tobytes()
         if any(t and special(t) for t in texts):  # else no chunk can hold the string of a special token
