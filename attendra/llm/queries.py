@@ -84,7 +84,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     named = documents.select("doc_id", "source", "text")
-    cleaned = site_lines.remove_spread(named, removed="n_removed", family=site_lines.least_other_line)  # as its SQL says
+    cleaned = site_lines.remove_spread(named, removed="n_removed")
     return cleaned.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), "text")
 
 

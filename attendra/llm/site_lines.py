@@ -2,13 +2,12 @@
 
 A line is text between line feeds without outer blanks; blank lines stay. Copies
 of one document would carry all their lines to many sites, so documents with
-equal sets of lines count once, with their least site (``same_lines``); documents
-that differ in any line all count. ``SQL_TEXT`` has a narrower count, in which
-documents that share the least MD5 of their other lines count once too
-(``least_other_line``). A HyperLogLog sketch of the sites is built per line hash,
-partial sketches merging map-side; lines whose estimate is near the threshold
-get exact distinct counts. Lines on ``sites`` sites or more are removed from
-every document.
+equal sets of lines count once, with their least site; documents that differ in
+any line all count. A line is reduced to its distinct sites before it meets
+anything, however many documents hold it. A HyperLogLog sketch of the sites is built
+per line hash, partial sketches merging map-side; lines whose estimate is near the
+threshold get exact distinct counts. Lines on ``sites`` sites or more are removed
+from every document.
 
 Null texts stay null, empty ones empty. A null site counts for nothing. A
 document may end up with blank lines only, or empty; no row is dropped. Repeated
@@ -17,15 +16,11 @@ rows get equal results. Rows with the same id share one set of lines to remove.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attendra.sources.storage import materialize
 
-#: From a document's sorted distinct line marks and one of its lines to a key.
-Family = Callable[[Column, Column], Column]
 SITES = 8
 LG_BUCKETS = 10
 #: Estimates this near to the threshold are recounted: three standard errors, 1 at least.
@@ -40,31 +35,19 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def same_lines(marks: Column, line: Column) -> Column:
-    """A key that documents with equal sets of lines share, and no others."""
-    return marks
-
-
-def least_other_line(marks: Column, line: Column) -> Column:
-    """A key that documents with a line share if the least MD5 of their other lines is equal."""
-    first, second = (F.coalesce(F.get(marks, F.lit(k)), F.lit("")) for k in (0, 1))
-    return F.when(F.md5(F.trim(line)) == first, second).otherwise(first)
-
-
-def sightings(documents: DataFrame, family: Family = same_lines) -> DataFrame:
-    """``line, family, site``: the least site of each family of documents with the line."""
+def sightings(documents: DataFrame) -> DataFrame:
+    """``line, site``: distinct sites of every line, those of documents with equal sets of lines counted once."""
     shown = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
     marks = F.array_sort(F.array_distinct(F.transform(shown, lambda x: F.md5(F.trim(x)))))
-    split = documents.where("source is not null").select(F.col("source").alias("site"), shown.alias("shown"), marks.alias("marks"))
-    each = split.select("site", "marks", F.explode("shown").alias("x"))
-    key = F.xxhash64(family(F.col("marks"), F.col("x")))
-    rows = each.select("site", key.alias("family"), line_hash(F.col("x")).alias("line"))
-    return rows.groupBy("line", "family").agg(F.min("site").alias("site"))
+    split = documents.where("source is not null").select(
+        F.col("source").alias("site"), F.xxhash64(marks).alias("family"), F.explode(F.transform(shown, line_hash)).alias("line")
+    )
+    return split.groupBy("line", "family").agg(F.min("site").alias("site")).select("line", "site").distinct()
 
 
-def spread_lines(documents: DataFrame, sites: int = SITES, family: Family = same_lines) -> DataFrame:
+def spread_lines(documents: DataFrame, sites: int = SITES) -> DataFrame:
     """Hashes of the lines on at least ``sites`` sites."""
-    seen = materialize(sightings(documents, family), "line-sites")
+    seen = materialize(sightings(documents), "line-sites")
     # Most lines have one site: they need no sketch.
     several = seen.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a < b")
     kept = seen.join(several.select("line"), "line", "left_semi")
@@ -76,23 +59,21 @@ def spread_lines(documents: DataFrame, sites: int = SITES, family: Family = same
     near = F.abs(F.col("sites") - sites) <= margin
     exact = (
         seen.join(estimated.where(near).select("line"), "line", "left_semi")
-        .select("line", "site")
-        .distinct()
         .groupBy("line")
         .agg(F.count("site").alias("sites"))
     )
     return estimated.where(~near).unionByName(exact).where(F.col("sites") >= sites).select("line")
 
 
-def remove_spread(
-    documents: DataFrame, sites: int = SITES, removed: str | None = None, family: Family = same_lines
-) -> DataFrame:
+def remove_spread(documents: DataFrame, sites: int = SITES, removed: str | None = None) -> DataFrame:
     """``documents`` with their columns, without widely spread lines in ``text``.
 
-    ``removed`` names a column to add with the number of lines taken out;
-    ``family`` tells which documents with a line count as one.
+    ``removed`` names a column to add with the number of lines taken out; the name of an
+    existing column raises ``ValueError``.
     """
-    spread = spread_lines(documents, sites, family)
+    if removed and removed.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"{removed} is a column already")
+    spread = spread_lines(documents, sites)
     gone, key = "_lines_to_remove", "_line_document"
     while {gone, key} & set(documents.columns):
         gone, key = f"_{gone}", f"_{key}"
@@ -120,8 +101,7 @@ WITH split AS (
                                      lambda x: x <> '') AS lines
   FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
 seen AS (
-  SELECT line, CASE WHEN md5(line) = marks[1] THEN coalesce(marks[2], '') ELSE marks[1] END AS family,
-         min(source) AS site
+  SELECT line, marks AS family, min(source) AS site
   FROM (SELECT unnest(lines) AS line, list_sort(list_distinct(list_transform(lines, lambda x: md5(x)))) AS marks,
                source FROM split)
   GROUP BY ALL),

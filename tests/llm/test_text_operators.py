@@ -514,3 +514,8 @@ def test_letters_that_stand_for_phrases_stay_one_word():
     words = toxicity.words_of("\ufdfa vile \uff9e so vile end vile")
     assert [at for at, _ in toxicity.matches(words, model)] == [1, len(words) - 1]
     assert all(" " not in w for w in words)
+
+
+def test_removed_lines_do_not_overwrite_a_column(awkward):
+    with pytest.raises(ValueError, match="column already"):
+        site_lines.remove_spread(awkward, removed="Lang")
