@@ -100,7 +100,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The one tool of the conversations: a user's turn asks for a reply.
-REPLY_SCHEMA = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
+REPLY_SCHEMA = """SELECT * FROM VALUES ('reply', 'prompt', 'string', true), ('reply', 'turn', 'integer', true)
+AS fields(name, field, kind, required)"""
 
 OP9_SQL = """
 WITH RECURSIVE turns AS (
@@ -137,8 +138,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", named(0).alias("call_id"), named(2).alias("after_id"), F.lit("reply").alias("name"), arguments.alias("arguments")
     )
     results = turns.where("role = 'assistant'").select(named(1).alias("call_id"), F.col("text").alias("content"))
-    schema = spark.createDataFrame(REPLY_SCHEMA, "name string, field string, kind string, required boolean")
-    return tool_calls.link(calls, results, schema)
+    return tool_calls.link(calls, results, spark.sql(REPLY_SCHEMA))
 
 
 @query("op6_jaccard_join")

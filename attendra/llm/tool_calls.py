@@ -10,9 +10,13 @@
   of calls before it on that path, found by pointer doubling, so a path of a
   thousand calls takes ten joins and no conversation is gathered. Calls on or
   behind a cycle have no place ("cycle"); a missing ``after_id`` counts as none;
-* arguments are checked field by field in a join with the schema: malformed
-  JSON, unknown tool, missing or unknown fields, wrong kinds;
-* ``json`` is canonical: keys in order, no blanks, text escaped as JSON asks.
+* arguments must be one JSON object with each key once and nothing behind it, else
+  they are malformed and serialised as null. Its fields are checked by their JSON
+  kinds ("string", "integer", "number", "boolean", "object", "array") against the
+  schema of the tool: unknown tool, missing or unknown fields, wrong kinds. A
+  number without fraction is an integer, text of digits is not;
+* ``json`` is canonical: keys of all depths in order, no blanks, text escaped as JSON
+  asks, numbers in their shortest form. Values keep their kinds.
 
 Null call ids are dropped; null texts are JSON nulls. Empty tables give no rows.
 """
@@ -24,8 +28,15 @@ from pyspark.sql import functions as F
 
 from attendra.sources.storage import materialize
 
-#: Fixed patterns of JSON values by kind.
-KINDS = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
+#: Kind -> pattern on the type that Spark tells of a JSON value.
+KINDS = {
+    "string": "^STRING$",
+    "integer": r"^(BIGINT|DECIMAL\([0-9]+,0\))$",
+    "number": "^(BIGINT|DECIMAL.*|DOUBLE)$",
+    "boolean": "^BOOLEAN$",
+    "object": "^OBJECT",
+    "array": "^ARRAY",
+}
 
 
 def places(calls: DataFrame) -> DataFrame:
@@ -35,7 +46,7 @@ def places(calls: DataFrame) -> DataFrame:
         calls.select("call_id", "after_id")
         .join(known, "after_id", "left")
         .select("call_id", F.when(F.col("known"), F.col("after_id")).alias("up"))
-        .withColumn("place", F.when(F.col("up").isNull(), 0).otherwise(1)),
+        .withColumn("place", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")),
         "call-places",
     )
     total = None
@@ -58,42 +69,56 @@ def places(calls: DataFrame) -> DataFrame:
     return at.select("call_id", F.when(F.col("up").isNull(), F.col("place")).alias("place"))
 
 
+def parsed(text: Column) -> Column:
+    """JSON text as a variant; null unless all of it is one value without repeated keys.
+
+    The parser stops behind the first value. Inside an array what follows an early end
+    is refused unless it closes the array, inside an object unless it closes that.
+    """
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(alone.isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
 def checked_arguments(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """``call_id, problem, canonical``: the first problem in text order and canonical arguments."""
-    parsed = calls.select("call_id", "name", F.from_json("arguments", "map<string,string>").alias("given"))
-    fields = parsed.select("call_id", "name", F.explode_outer("given").alias("field", "value"), F.col("given").isNull().alias("malformed"))
-    rules = schema.groupBy("name", "field").agg(F.min("kind").alias("kind"), F.max("required").alias("required"))
-    needed = rules.where("required").groupBy("name").agg(F.count("*").alias("needed"))
-    tools = rules.groupBy("name").agg(F.lit(True).alias("tool")).join(needed, "name", "left")
-    kind_ok = F.lit(False)
-    for kind, pattern in KINDS.items():
-        kind_ok = kind_ok | ((F.col("kind") == kind) & F.col("value").rlike(pattern))
-    kind_ok = kind_ok | (F.col("kind") == "string")
-    found = fields.join(rules, ["name", "field"], "left").select(
-        "call_id", "name", "field", "value", "malformed", "kind", "required",
-        F.when(F.col("malformed"), "malformed arguments")
-        .when(F.col("field").isNull(), None)
-        .when(F.col("kind").isNull(), F.concat(F.lit("unknown field "), F.col("field")))
-        .when(F.col("value").isNull() & F.col("required"), F.concat(F.lit("missing field "), F.col("field")))
-        .when(F.col("value").isNotNull() & ~kind_ok, F.concat(F.lit("wrong kind of "), F.col("field")))
-        .alias("problem"),
-    )
-    raw = F.when(F.col("value").isNull(), "null").when(F.col("kind").isin(*KINDS) & kind_ok, F.col("value"))
-    pair = F.concat(json_value(F.col("field")), F.lit(":"), raw.otherwise(json_value(F.col("value"))))
-    per_call = found.groupBy("call_id").agg(
-        F.min("problem").alias("problem"),
-        F.min("name").alias("name"),
-        F.count_if("required").alias("n_required"),
-        # As many entries as the call has arguments.
-        F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", pair.alias("pair"))))).alias("pairs"),
+    """``call_id, problem, canonical``: the first problem in text order and canonical arguments.
+
+    Each call is checked within its row, against the fields of its tool.
+    """
+    rules = (
+        schema.groupBy("name", "field")
+        .agg(F.min("kind").alias("kind"), F.max("required").alias("required"))
+        .groupBy("name")
+        # As many entries as the tool has fields.
+        .agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("kind", "required")))).alias("rules"))
     )
-    return per_call.join(tools, "name", "left").select(
+    value = calls.select("call_id", "name", parsed(F.col("arguments")).alias("value"))
+    given = value.withColumn("given", F.try_variant_get("value", "$", "map<string,variant>")).join(rules, "name", "left")
+
+    def problem(field: Column, found: Column) -> Column:
+        rule = F.try_element_at("rules", field)
+        right = F.lit(False)
+        for kind, pattern in KINDS.items():
+            right = right | ((rule["kind"] == kind) & F.schema_of_variant(found).rlike(pattern))
+        return (
+            F.when(rule.isNull(), F.concat(F.lit("unknown field "), field))
+            .when(F.is_variant_null(found) & rule["required"], F.concat(F.lit("missing field "), field))
+            .when(~F.is_variant_null(found) & ~right, F.concat(F.lit("wrong kind of "), field))
+        )
+
+    problems = F.transform(F.map_entries("given"), lambda e: problem(e["key"], e["value"]))
+    absent = F.exists(
+        F.map_entries("rules"), lambda r: r["value"]["required"] & ~F.map_contains_key(F.col("given"), r["key"])
+    )
+    first = F.array_min(F.filter(problems, lambda p: p.isNotNull()))
+    return given.select(
         "call_id",
-        F.when(F.col("tool").isNull(), "unknown tool")
-        .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("n_required") < F.coalesce("needed", F.lit(0)), "missing field")
+        F.when(F.col("rules").isNull(), "unknown tool")
+        .when(F.col("given").isNull(), "malformed arguments")
+        .when(first.isNotNull(), first)
+        .when(absent, "missing field")
         .alias("problem"),
-        F.concat(F.lit("{"), F.array_join(F.transform("pairs", lambda p: p["pair"]), ","), F.lit("}")).alias("canonical"),
+        F.when(F.col("given").isNotNull(), F.to_json("value")).alias("canonical"),
     )
 
 

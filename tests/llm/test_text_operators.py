@@ -30,6 +30,7 @@ from attendra.llm import (
 )
 from attendra.llm.common import prepare
 from attendra.llm.queries import QUERIES, SQL
+from tests import oracle
 
 SMALL = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -519,3 +520,45 @@ def test_letters_that_stand_for_phrases_stay_one_word():
 def test_removed_lines_do_not_overwrite_a_column(awkward):
     with pytest.raises(ValueError, match="column already"):
         site_lines.remove_spread(awkward, removed="Lang")
+
+
+def test_arguments_keep_their_json_kinds(spark):
+    schema = spark.createDataFrame(
+        [("f", k, k, False) for k in ("string", "integer", "number", "boolean", "object", "array")],
+        "name string, field string, kind string, required boolean",
+    )
+    cases = {
+        '{"integer":"1"}': ("wrong kind of integer", '{"integer":"1"}'),
+        '{"string":5}': ("wrong kind of string", '{"string":5}'),
+        '{"integer":1.5}': ("wrong kind of integer", '{"integer":1.5}'),
+        '{"boolean":"true"}': ("wrong kind of boolean", '{"boolean":"true"}'),
+        '{"object":[1]}': ("wrong kind of object", '{"object":[1]}'),
+        '{"integer":1,"number":0.50,"boolean":false}': (None, '{"boolean":false,"integer":1,"number":0.5}'),
+        ' { "object" : {"b":[1, {"z":null,"a":"x"}], "a":{}} , "array":[ ] } ': (None, '{"array":[],"object":{"a":{},"b":[1,{"a":"x","z":null}]}}'),
+        '{"integer":123456789012345678901234567890}': (None, '{"integer":123456789012345678901234567890}'),
+        '{"string":"\\u00e9 \\" \\n 😀"}': (None, '{"string":"é \\" \\n 😀"}'),
+        '{"string":null}': (None, '{"string":null}'),
+        "{}": (None, "{}"),
+        '{"integer":1,"integer":3}': ("malformed arguments", None),
+        '{"object":{"a":1,"a":2}}': ("malformed arguments", None),
+        '{"integer":1} trailing': ("malformed arguments", None),
+        '{"integer":1}{"integer":2}': ("malformed arguments", None),
+        '{"integer":1}],[2': ("malformed arguments", None),
+        '{"integer":1}}{"v":1': ("malformed arguments", None),
+        '{"integer":1},{"integer":2}': ("malformed arguments", None),
+        '{"integer":1},"w":2': ("malformed arguments", None),
+        "[1]": ("malformed arguments", None),
+        "null": ("malformed arguments", None),
+        "": ("malformed arguments", None),
+        "{'integer':1}": ("malformed arguments", None),
+        None: ("malformed arguments", None),
+    }
+    calls = spark.createDataFrame([(str(k), "f", a) for k, a in enumerate(cases)], "call_id string, name string, arguments string")
+    got = {int(r["call_id"]): (r["problem"], r["canonical"]) for r in tool_calls.checked_arguments(calls, schema).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_query_types_equal_the_sql(spark):
+    con = oracle.connect(SMALL)
+    for name in SQL:
+        assert oracle.compare(QUERIES[name](spark, SMALL), con, SQL[name]) is None, name
