@@ -38,11 +38,12 @@ def line_hash(line: Column) -> Column:
 def sightings(documents: DataFrame) -> DataFrame:
     """``line, site``: distinct sites of every line, those of documents with equal sets of lines counted once."""
     shown = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
-    marks = F.array_sort(F.array_distinct(F.transform(shown, lambda x: F.md5(F.trim(x)))))
-    split = documents.where("source is not null").select(
-        F.col("source").alias("site"), F.xxhash64(marks).alias("family"), F.explode(F.transform(shown, line_hash)).alias("line")
-    )
-    return split.groupBy("line", "family").agg(F.min("site").alias("site")).select("line", "site").distinct()
+    split = documents.where("source is not null").select(F.col("source").alias("site"), shown.alias("shown"))
+    marks = F.array_sort(F.array_distinct(F.transform("shown", lambda x: F.md5(F.trim(x)))))
+    # One number stands for the set, so that a line carries no list along.
+    each = split.select("site", F.xxhash64(marks).alias("family"), "shown").select("site", "family", F.explode("shown").alias("x"))
+    rows = each.select("site", "family", line_hash(F.col("x")).alias("line"))
+    return rows.groupBy("line", "family").agg(F.min("site").alias("site")).select("line", "site").distinct()
 
 
 def spread_lines(documents: DataFrame, sites: int = SITES) -> DataFrame:
