@@ -2,8 +2,10 @@
 
 A page is read as a sequence: each word scores positive, each tag negative, with
 weights from labelled pages (those that mark their article). One linear scan
-finds the contiguous region with the largest sum. Elements that never hold main
-text (scripts, menus, forms) take no part and give no text. Blocks whose class,
+finds the contiguous region with the largest sum. Inside the article that a page
+itself marks, tags cost nothing: its lists, links and tables stay. Elements that
+hold no main text (scripts, menus, forms) take no part and give no text, but for a form or
+an aside around the article, or around most words of a page. Blocks whose class,
 id or role names an advert, a notice, comments and the like are left out too,
 unless main text lies in them (``asides``): layout names (``has-sidebar``) and
 names of an article's own parts (``article-header``) count for nothing.
@@ -42,6 +44,8 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 NOT_MAIN = frozenset("head nav footer aside form button select dialog menu object canvas map".split())
+#: Of these, those that some pages put around the article.
+WRAPPING = frozenset("form aside".split())
 BOX = frozenset("div section ul ol dl table span figure p details header".split())
 ASIDE_NAME = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|popup|modal|comments?|disqus|sidebar|"
@@ -60,7 +64,8 @@ ASIDE_SHARE = 0.5
 #: One with a weak name, up to so many words.
 WEAK_WORDS = 15
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
+    # A quote opens a value only behind "="; any other is a character like the rest.
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*)(?:>|\Z)",
     re.S,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -95,6 +100,31 @@ def never_main(name: str, in_article: bool) -> bool:
     return name in RAW or name in NOT_MAIN or (name == "header" and not in_article)
 
 
+def wrappers(found: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the forms and asides that hold an article or main element, or most words of the page."""
+    opened: dict[str, list[tuple[int, int, int]]] = {name: [] for name in WRAPPING}
+    words, articles, out, silent = 0, 0, set(), ""
+    spans = []
+    for at, (kind, value, _) in enumerate(found):
+        if kind == "text":
+            words += 0 if silent else len(value.split())
+        elif value in RAW:
+            silent = value if kind == "open" else ""
+        elif kind == "open" and value in ("article", "main"):
+            articles += 1
+        elif value in opened:
+            if kind == "open":
+                opened[value].append((at, words, articles))
+            elif opened[value]:
+                start, before, earlier = opened[value].pop()
+                spans.append((start, words - before, articles - earlier))
+    spans += [(start, words - before, articles - earlier) for rows in opened.values() for start, before, earlier in rows]
+    for start, inside, marked in spans:
+        if marked or (not articles and 2 * inside > words):
+            out.add(start)
+    return out
+
+
 def named_aside(name: str, attributes: str) -> str:
     """"strong" or "weak" if class, id or role of a block name an aside, else ""."""
     if name not in BOX or not attributes:
@@ -117,7 +147,9 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
     A token "gone" stands where such an element was.
     """
     skipped, depth, article = "", 0, 0
-    for kind, value, attributes in tokens(page):
+    found = list(tokens(page))
+    wrapping = wrappers(found)
+    for at, (kind, value, attributes) in enumerate(found):
         if skipped:
             if kind == "open" and value == skipped:
                 depth += 1
@@ -131,7 +163,7 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
             skipped = ""
             if ended_by_itself:
                 continue
-        if kind == "open" and value not in VOID and never_main(value, article > 0):
+        if kind == "open" and value not in VOID and never_main(value, article > 0) and at not in wrapping:
             skipped, depth = value, 1
             yield "gone", value, ""
             continue
@@ -217,8 +249,8 @@ def tag_counts(page: str) -> tuple[Counter, Counter]:
 def learn(pages: DataFrame, rows: int = LEARN_PAGES) -> dict[str, float]:
     """The cost of each tag, from about ``rows`` pages that mark their article.
 
-    One row per tag name reaches the driver; names seen on fewer than three
-    pages are left out.
+    One row per tag name of the sample reaches the driver. A name that few pages
+    have costs little, as its odds are counted with one tag more on either side.
     """
     marked = pages.select("html", "page_id").where(F.lower("html").rlike("<(article|main)[ >]"))
     total = marked.count()
@@ -231,14 +263,14 @@ def learn(pages: DataFrame, rows: int = LEARN_PAGES) -> dict[str, float]:
             rows = []
             for page in batch["html"]:
                 outside, inside = tag_counts(page)
-                rows += [(t, outside[t], inside[t], 1) for t in outside.keys() | inside.keys()]
-            yield pd.DataFrame(rows, columns=["tag", "outside", "inside", "pages"])
+                rows += [(t, outside[t], inside[t]) for t in outside.keys() | inside.keys()]
+            yield pd.DataFrame(rows, columns=["tag", "outside", "inside"])
 
-    counted = sample.mapInPandas(count, "tag string, outside long, inside long, pages long").groupBy("tag")
-    found = counted.agg(*(F.sum(c).alias(c) for c in ("outside", "inside", "pages"))).where("pages >= 3")
+    counted = sample.mapInPandas(count, "tag string, outside long, inside long").groupBy("tag")
+    found = counted.agg(*(F.sum(c).alias(c) for c in ("outside", "inside")))
     return {
         r["tag"]: max(LEAST_COST, TAG_SCALE * math.log((r["outside"] + 1) / (r["inside"] + 1)))
-        for r in found.orderBy(F.desc("pages"), "tag").limit(500).collect()
+        for r in found.collect()
     }
 
 
@@ -258,14 +290,17 @@ def main_text(page: str | None, costs: dict[str, float]) -> str:
     if not page:
         return ""
     found = list(parts(page))
-    scores = []
+    scores, article = [], 0
     for kind, value, _ in found:
+        if value in ("article", "main") and kind in ("open", "close"):
+            article += 1 if kind == "open" else -(article > 0)
         if kind == "text":
             scores.append(WORD_SCORE * len(value.split()))
         elif kind == "gone":
             scores.append(0.0)
         else:
-            scores.append(0.0 if value in ("article", "main", "html", "body") else -costs.get(value, 1.0))
+            free = article > 0 or value in ("article", "main", "html", "body")
+            scores.append(0.0 if free else -costs.get(value, 1.0))
     for start, end in reversed(asides(found, scores)):
         del found[start:end], scores[start:end]
     first, last = region(scores)

@@ -35,9 +35,6 @@ from attendra.llm.common import labelled_sample
 from attendra.llm.compression_score import logistic
 
 LEARN_ROWS = 16_000
-#: Lexicon and exception entries kept, by weight: both reach every task.
-MOST_ENTRIES = 2_000
-MOST_EXCEPTIONS = 2_000
 STEMS = (4, 5, 6)
 #: Toxic documents an entry must occur in, and how much likelier it must be there.
 LEAST_TOXIC = 5
@@ -149,8 +146,9 @@ def measure(text: str | None, model: Model) -> tuple[float, float, float, float]
 def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = LEARN_ROWS) -> Model:
     """Lexicon, exceptions and calibration from a bounded labelled sample.
 
-    Entries are counted over the sample in parallel; only the heaviest ones and
-    four numbers per sampled document reach the driver.
+    Entries are counted over the sample in parallel; only those beyond the limits of
+    count and weight and four numbers per sampled document reach the driver. The
+    bound on the rows bounds them as well.
     """
     sample = labelled_sample(documents, labels, "toxic", rows, train)
 
@@ -175,7 +173,6 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None,
         .withColumn("weight", F.round(odds, 6))
         .where(F.col("weight") >= LEAST_WEIGHT)
         .orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry")
-        .limit(MOST_ENTRIES)
         .collect()
     )
     lexicon = tuple((r["entry"], r["weight"]) for r in heavy)
@@ -199,7 +196,6 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None,
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("clean") >= 3) & (F.col("toxic") == 0))
         .orderBy(F.desc("clean"), "phrase")
-        .limit(MOST_EXCEPTIONS)
         .collect()
     )
     model = Model(lexicon, frozenset(r["phrase"] for r in harmless), ())

@@ -562,3 +562,59 @@ def test_query_types_equal_the_sql(spark):
     con = oracle.connect(SMALL)
     for name in SQL:
         assert oracle.compare(QUERIES[name](spark, SMALL), con, SQL[name]) is None, name
+
+
+COSTS = {"li": 120.0, "ul": 100.0, "div": 100.0, "a": 60.0, "table": 80.0, "td": 40.0, "tr": 40.0, "p": 0.5}
+LIST = "<h1>Flood</h1><p>What to bring:</p><ul><li>milk</li><li>flour</li></ul><p>That is all of it.</p>"
+LINKS = "<p>Short start of it.</p><p>See <a>one</a> and <a>two</a> and <a>three</a>.</p><p>The end of it.</p>"
+TABLE = "<p>Before it.</p><table><tr><td>a</td><td>b</td></tr></table><p>After it.</p>"
+MENU = "<div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div>"
+
+
+@pytest.mark.parametrize(
+    "article, text",
+    [
+        (LIST, "Flood\n\nWhat to bring:\n\nmilk\n\nflour\n\nThat is all of it."),
+        (LINKS, "Short start of it.\n\nSee one and two and three.\n\nThe end of it."),
+        (TABLE, "Before it.\n\na\n\nb\n\nAfter it."),
+        ("<p title=Bob's>One it's.</p><p title=\"5\" tall\">Two.</p><p a=' > ' b=\"<p>\">Three.</p>", "One it's.\n\nTwo.\n\nThree."),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["{}", "<form action=/>{}</form>", "<aside>{}</aside>", "<form><input name=x>{}"])
+def test_marked_articles_keep_lists_links_tables_and_forms(article, text, wrap):
+    page = f"<html><body>{MENU}{wrap.format(f'<article>{article}</article>')}<form><p>Your mail here</p></form></body></html>"
+    assert main_text.main_text(page, COSTS) == text
+
+
+def test_a_form_around_an_unmarked_page_keeps_its_text():
+    body = "".join(f"<p>Paragraph {k} has a few words of its own.</p>" for k in range(9))
+    page = f"<body><form id=aspnet>{body}</form><form><label>Mail</label></form></body>"
+    assert main_text.main_text(page, {"p": 0.1}).count("\n\n") == 8
+    assert "Mail" not in main_text.main_text(page, {"p": 0.1})
+
+
+def test_all_tags_of_the_sample_are_weighed(spark):
+    pages = spark.createDataFrame([(1, "<rare><rare><article><p>a</p></article>")], "page_id long, html string")
+    assert set(main_text.learn(pages)) == {"rare", "p"}
+
+
+def test_lexicon_equals_a_naive_matcher(spark, real):
+    """Scores rebuilt by scanning every text for every lexicon entry."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.learn(real, labels)
+    assert model.lexicon
+
+    def naive(text):
+        words = toxicity.words_of(text)
+        line, out, at = f" {' '.join(words)} ", [], 0
+        for k, word in enumerate(words):
+            fitting = [(len(e), w) for e, w in model.lexicon if line.startswith(e, at)]
+            around = {" ".join(words[max(k - 1, 0) : k + 1]) if k else "", " ".join(words[k : k + 2]) if k + 1 < len(words) else ""}
+            if fitting and not around & model.exceptions:
+                out.append((k, max(fitting)[1]))
+            at += len(word) + 1
+        return out
+
+    for row in real.collect():
+        words = toxicity.words_of(row["text"])
+        assert toxicity.matches(words, model) == naive(row["text"])
