@@ -129,7 +129,11 @@ def covers(rule: Sequence[Test], x: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def grow(x: np.ndarray, bad: np.ndarray, names: list[str], most: int) -> Rule:
-    """Adds the test with the largest information gain until no good row is covered."""
+    """Adds the test with the largest information gain until no good row is covered.
+
+    Thresholds lie half-way between the rows a test parts, so that a new row a
+    little beyond the rows seen falls on the nearer side.
+    """
     rule: list[Test] = []
     hit = np.ones(len(x), bool)
     while len(rule) < most and hit.any() and not bad[hit].all():
@@ -150,11 +154,20 @@ def grow(x: np.ndarray, bad: np.ndarray, names: list[str], most: int) -> Rule:
                     best, gain = Test(name, above, float(cuts[at])), float(each[at])
         if best is None:
             break
+        best = centred(best, x[hit, names.index(best.measure)])
         rule.append(best)
         hit &= best.holds(x[:, names.index(best.measure)])
     return tuple(rule)
 
 
+def centred(test: Test, values: np.ndarray) -> Test:
+    """``test`` with its threshold half-way between the values on its two sides: as far from both as can be."""
+    below, over = values[values <= test.threshold], values[values > test.threshold]
+    if not len(below) or not len(over):
+        return test
+    return Test(test.measure, test.above, float(below.max() + (over.min() - below.max()) / 2))
+
+
 def precision(rule: Sequence[Test], x: np.ndarray, bad: np.ndarray, names: list[str]) -> float:
     hit = covers(rule, x, names)
     return (bad[hit].sum() + 1) / (hit.sum() + 2)

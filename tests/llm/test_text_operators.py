@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -618,3 +619,23 @@ def test_lexicon_equals_a_naive_matcher(spark, real):
     for row in real.collect():
         words = toxicity.words_of(row["text"])
         assert toxicity.matches(words, model) == naive(row["text"])
+
+
+def test_thresholds_lie_between_the_classes():
+    x = np.array([[0.0], [0.0], [0.1], [0.9], [1.0], [0.95]] * 20)
+    bad = x[:, 0] > 0.5
+    (rule,) = quality_rules.learn_list(x, bad, ["m"])
+    (found,) = rule
+    assert found.above and 0.4 < found.threshold < 0.6
+
+
+def test_rules_on_documents_they_have_not_seen(spark):
+    """Learned on one half of the labelled documents, measured on the other."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    rules = quality_rules.learn(docs, labels.where(half == 0))
+    judged = quality_rules.judge(docs.join(labels.where(half == 1), "doc_id"), rules)
+    kept = {r["quality"]: r["share"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    print(rules, kept)
+    assert kept[1] > 0.97 and kept[0] < 0.05
