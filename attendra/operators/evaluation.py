@@ -169,13 +169,9 @@ def measure_held_out(
     threshold = best["threshold"] if best else config.RISK_THRESHOLD
     confusion = evaluate(scored_measure, label, score, threshold)
     quality = rank_quality(score_histogram(scored_measure, label, score)).select("auc", "brier", "base_brier")
-    # One row each: they meet on a constant.
-    one = F.lit(1)
-    return (
-        confusion.withColumns({"threshold": F.lit(float(threshold)), "_one": one})
-        .join(quality.withColumn("_one", one), "_one", "left")
-        .drop("_one")
-    )
+    # One row each, with different columns: put below each other and folded.
+    both = confusion.withColumn("threshold", F.lit(float(threshold))).unionByName(quality, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 class HeldOut(NamedTuple):
