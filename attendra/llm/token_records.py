@@ -51,15 +51,16 @@ MASK = 0xA282EAD8
 HEAD = "<qBB"
 ENTRY = "<qBQQQ"
 FILE_BYTES = 16 << 20
-#: Chunks after which a Python worker's cache starts a new generation; it keeps two. Longer chunks
-#: are remembered for their batch only.
-CACHE = 300_000
+#: Short chunks that a Python worker remembers (some 60 bytes each); then those not used of late go.
+CACHE = 1_000_000
+#: Longer chunks that it remembers, and the longest of them.
+CACHE_LONG = 50_000
 LONGEST = 256
-#: Cuts where the tokenizer's own pattern always cuts: before a blank or line feed
-#: that follows a visible character, and between a letter or digit and a full stop
-#: or comma, never inside the string of a special token. Texts are then encoded
-#: piece by piece.
-CHUNK = re.compile(r"\s*[^\W_]+(?![^\s.,])|\s*\S+(?:[^ \n\S]\s*\S+)*|\s+")
+#: Bytes of text whose chunks are looked up together.
+BYTES_AT_ONCE = 4 << 20
+#: Bytes of a short chunk: two machine words. ``HEADS[n]`` keeps the first n bytes of one word.
+SHORT = 16
+HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: A blank and Latin letters: one piece for a byte-level tokenizer's pattern, whatever stands around it.
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
@@ -74,28 +75,75 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
-class Known(dict):
-    """Chunk -> place of its ids. Asking for a new chunk gives it a place and lists it in ``fresh``.
+class Known:
+    """Short chunks, as two machine words and a size, and their ids; sorted by a mix of the words.
 
-    ``old`` is the generation before: what is still in use moves over from it.
+    The first entry is the empty chunk, which no text has.
     """
 
-    def __init__(self, old: Known | None = None):
-        self.ids: list[bytes | None] = []
-        self.fresh: list[str] = []
-        self.old = old
-        if old is not None:
-            old.old = None
-
-    def __missing__(self, chunk: str) -> int:
-        place = self[chunk] = len(self.ids)
-        before = None if self.old is None else self.old.get(chunk)
-        if before is None:
-            self.fresh.append(chunk)
-            self.ids.append(None)
-        else:
-            self.ids.append(self.old.ids[before])
-        return place
+    def __init__(self):
+        self.mixed = self.low = self.high = np.zeros(1, np.uint64)
+        self.sizes, self.counts, self.used = np.zeros(1, np.uint8), np.zeros(1, np.uint8), np.ones(1, bool)
+        self.starts, self.ids, self.end = np.zeros(1, np.int64), np.empty(1 << 16, np.uint16), 0
+
+    def places(self, mixed: np.ndarray) -> np.ndarray:
+        """Where each of ``mixed`` (sorted) is or would be."""
+        return np.searchsorted(self.mixed, mixed)
+
+    def holds(self, at: np.ndarray, mixed: np.ndarray, low: np.ndarray, high: np.ndarray, sizes: np.ndarray):
+        """Whether ``mixed`` is at its place, and whether the chunk there is the same."""
+        near = np.minimum(at, len(self.mixed) - 1)
+        there = self.mixed[near] == mixed
+        return there, there & (self.low[near] == low) & (self.high[near] == high) & (self.sizes[near] == sizes)
+
+    def add(self, at, mixed, low, high, sizes, found: list[bytes]) -> None:
+        """New chunks at their places ``at``, with their ids as little-endian bytes of four each."""
+        new = np.frombuffer(b"".join(found), "<u4")
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        if len(new) and int(new.max()) >= 1 << 16 and self.ids.dtype == np.uint16:
+            self.ids = self.ids.astype(np.uint32)
+        if self.end + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(new), self.ids.dtype)])
+        self.ids[self.end : self.end + len(new)] = new
+        starts = self.end + np.cumsum(counts) - counts
+        self.end += len(new)
+        for name, values in (("mixed", mixed), ("low", low), ("high", high), ("sizes", sizes), ("counts", counts), ("starts", starts), ("used", True)):
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+
+    def shrink(self) -> None:
+        """Keeps what was used since the last time; nothing where that is most of it."""
+        keep = np.flatnonzero(self.used) if 2 * np.count_nonzero(self.used) <= CACHE else np.zeros(1, np.int64)
+        old = Known()
+        old.__dict__.update(self.__dict__)
+        self.__init__()
+        counts = old.counts[keep].astype(np.int64)
+        self.starts, self.end = np.cumsum(counts) - counts, int(counts.sum())
+        self.ids = np.append(old.ids[spread(old.starts[keep], counts)], np.empty(1 << 16, old.ids.dtype))
+        for name in ("mixed", "low", "high", "sizes", "counts"):
+            setattr(self, name, getattr(old, name)[keep])
+        self.used = np.arange(len(keep)) == 0
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of each run, one run after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 ``data`` where the tokenizer's own pattern always cuts.
+
+    Before a blank or line feed behind a visible character, and between an ASCII letter or digit and
+    a full stop or comma; never inside the string of a special token. Behind other characters than
+    ASCII and those of two bytes, which may be blanks, nothing is cut.
+    """
+    before, here = data[:-1], data[1:]
+    folded = before | 0x20
+    wide = np.zeros(len(before), bool)
+    wide[1:] = (before[1:] >= 0x80) & (before[:-1] >= 0xC3) & (before[:-1] <= 0xDF)
+    visible = ((before > 0x20) & (before < 0x7F)) | wide
+    alnum = ((folded >= 0x61) & (folded <= 0x7A)) | ((before >= 0x30) & (before <= 0x39))
+    blank, stop = (here == 0x20) | (here == 0x0A), (here == 0x2E) | (here == 0x2C)
+    return np.flatnonzero((blank & visible) | (stop & alnum)) + 1
 
 
 class Encoder:
@@ -115,6 +163,7 @@ class Encoder:
         self.special = re.compile("" if self.tokenizer.normalizer else "|".join(special) or r"(?!)")
         self.model = self._word_model()
         self.known = Known()
+        self.long: dict[bytes, bytes] = {}
 
     def _word_model(self):
         """The library's merges alone, where a word passes the steps before them as one piece; else None."""
@@ -125,34 +174,92 @@ class Encoder:
         plain = self.ordinary.normalizer is None and isinstance(model, models.BPE) and model.dropout is None
         return model if bytewise and plain else None
 
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
-            self.known = Known(self.known)
-        known, special = self.known, self.special.search
-        # One look into the large table for every chunk; ids are then found by place.
-        rows = [list(map(known.__getitem__, CHUNK.findall(t or ""))) for t in texts]
-        fresh, known.fresh = known.fresh, []
-        other = fresh
-        if self.model is not None:
-            other = []
-            for chunk in fresh:
-                if WORD.fullmatch(chunk):
-                    found = self.model.tokenize(chunk.encode().decode("latin-1").translate(BYTE_SIGNS))
-                    known.ids[known[chunk]] = array("I", [t.id for t in found]).tobytes()
-                else:
-                    other.append(chunk)
+    def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held, size = [], 0
+        for text in texts:
+            held.append((text or "").encode())
+            size += len(held[-1])
+            if size >= BYTES_AT_ONCE:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Equal chunks are found by sorting machine words; each distinct one is looked up once."""
+        data = b"".join(texts)
+        ends = np.cumsum([0, *map(len, texts)])
+        first = np.zeros(len(data) + 1, bool)
+        first[ends[:-1]] = True
+        first[cuts(np.frombuffer(data, np.uint8))] = True
+        starts = np.flatnonzero(first[:-1])
+        sizes = np.diff(starts, append=len(data))
+        word = np.ndarray(len(data) + 8, "<u8", data + bytes(SHORT), strides=(1,))
+        low = word[starts] & HEADS[np.minimum(sizes, 8)]
+        high = word[starts + 8 * (sizes > 8)] & HEADS[np.clip(sizes - 8, 0, 8)]
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1)) ^ high
+        mixed ^= mixed >> np.uint64(29)
+        mixed, shown, kind = np.unique(mixed, return_index=True, return_inverse=True)
+        known = self.known
+        at = known.places(mixed)
+        there, same = known.holds(at, mixed, low[shown], high[shown], sizes[shown])
+        fresh = ~there & (sizes[shown] <= SHORT)
+        one = shown[fresh]
+        found = self._ids([data[a:b] for a, b in zip(starts[one].tolist(), (starts[one] + sizes[one]).tolist())])
+        known.add(at[fresh], mixed[fresh], low[one], high[one], sizes[one], found)
+        at += np.cumsum(fresh) - fresh
+        usable = same | fresh
+        known.used[at[usable]] = True
+        # Long chunks, and those whose mix of words only seems equal to another's, are looked up on their own.
+        of_kind = shown[kind]
+        alike = (low == low[of_kind]) & (high == high[of_kind]) & (sizes == sizes[of_kind]) & usable[kind] & (sizes <= SHORT)
+        alone = np.flatnonzero(~alike)
+        rest = self._long([data[a:b] for a, b in zip(starts[alone].tolist(), (starts[alone] + sizes[alone]).tolist())])
+        at[~usable] = 0
+        counts, begins = known.counts[at][kind].astype(np.int64), known.starts[at][kind]
+        counts[alone] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        ids = known.ids
+        if len(alone):
+            ids = np.concatenate([ids[: known.end], np.frombuffer(b"".join(rest), "<u4")])
+            begins[alone] = known.end + np.cumsum(counts[alone]) - counts[alone]
+        reached = np.append(0, np.cumsum(counts))
+        ids = ids[spread(begins, counts)].astype(np.uint32, copy=False)
+        bounds = reached[np.searchsorted(starts, ends)].tolist()
+        if len(known.mixed) > CACHE:
+            known.shrink()
+        for a, b in zip(bounds, bounds[1:]):
+            yield ids[a:b]
+
+    def _long(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, by the dictionary of long ones."""
+        here = {chunk: self.long.get(chunk) for chunk in chunks}
+        fresh = [chunk for chunk, ids in here.items() if ids is None]
+        here.update(zip(fresh, self._ids(fresh)))
+        if len(self.long) > CACHE_LONG:
+            self.long = {}
+        self.long.update((chunk, here[chunk]) for chunk in fresh if len(chunk) <= LONGEST)
+        return [here[chunk] for chunk in chunks]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk by the library, as little-endian bytes."""
+        found: list[bytes] = [b""] * len(chunks)
+        other = []
+        for number, chunk in enumerate(chunks):
+            text = chunk.decode()
+            if self.special.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            elif self.model is not None and WORD.fullmatch(text):
+                ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_SIGNS))]
+            else:
+                other.append((number, text))
+                continue
+            found[number] = array("I", ids).tobytes()
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            for chunk, one in zip(part, self.ordinary.encode_batch_fast(part, add_special_tokens=False)):
-                known.ids[known[chunk]] = array("I", one.ids).tobytes()
-        if any(t and special(t) for t in texts):  # else no chunk can hold the string of a special token
-            for chunk in filter(special, fresh):
-                known.ids[known[chunk]] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        out = [np.frombuffer(b"".join(map(known.ids.__getitem__, row)), "<u4") for row in rows]
-        for chunk in fresh:
-            if len(chunk) > LONGEST:
-                known.ids[known.pop(chunk)] = None
-        return out
+            every = self.ordinary.encode_batch_fast([text for _, text in part], add_special_tokens=False)
+            for (number, _), one in zip(part, every):
+                found[number] = array("I", one.ids).tobytes()
+        return found
 
 
 @lru_cache(maxsize=2)

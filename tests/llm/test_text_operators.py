@@ -111,6 +111,23 @@ def test_special_token_strings_get_their_ids(spark, tmp_path):
     assert got == {k: [*plain.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(odd)}
 
 
+def test_chunk_cache_never_changes_ids(monkeypatch):
+    """Odd blanks, signs and special strings, with caches that overflow and pieces that are cut often."""
+    rng = random.Random(5)
+    signs = [*" \n\t.,_-'aZ09é  日\x00\x1c\x85½٣", "<|endoftext|>", "'s", "  ", "x" * 17]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(5000)] + [None, "", "\x00", "x" * 5000]
+    library = Tokenizer.from_file(JSON)
+    wanted = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for limits in ({}, {"CACHE": 300, "CACHE_LONG": 5, "BYTES_AT_ONCE": 3000}):
+        for name, value in limits.items():
+            monkeypatch.setattr(token_records, name, value)
+        encoder = token_records.Encoder(JSON)
+        for _ in range(2):
+            assert [ids.tolist() for ids in encoder.encode(texts)] == wanted
+    for alone in texts[-4:]:
+        assert [ids.tolist() for ids in token_records.Encoder(JSON).encode([alone])] == [library.encode(alone or "", add_special_tokens=False).ids]
+
+
 def test_damaged_records_are_refused():
     data = bytearray(token_records.record(7, token_records.np.arange(5)))
     assert token_records.parse(bytes(data))[0] == 7
