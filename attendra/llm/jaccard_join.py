@@ -6,8 +6,9 @@ quarter of either (in one global order: shingles frequent in the corpus last, so
 that common passages bring few documents together). Documents with such a
 shingle in common form a tree each:
 
-* leaf nodes are grown first: every document is verified against the least
-  document of its trees, and linked ones become clusters;
+* leaf nodes are grown first: the partners of a tree's least document form a tree
+  by size, whose nodes are traversed against that document; the pairs left are
+  verified on the full sets, and linked documents become clusters;
 * where a tree still holds several clusters, inner nodes hold the OR of their
   members' token bitmaps, the range of set sizes and of clusters. A dual
   traversal drops pairs of nodes whose largest possible overlap is too small,
@@ -16,6 +17,9 @@ shingle in common form a tree each:
   of each pair of clusters, whose links merge clusters, then all that is left
   between different clusters. No link between components is lost.
 
+``group`` gives classes; ``links`` gives every link between different sets, by a
+traversal that drops no pair for being in one cluster, and ``linked`` counts them.
+
 Trees over ``TREE_ROWS`` documents are split into blocks that meet pairwise.
 
 Null texts have no shingles, like texts without words; they are their own
@@ -190,13 +194,15 @@ def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             width = np.minimum(batch["bitsa"].map(len), batch["bitsb"].map(len)).to_numpy()
             for one_width in np.unique(width):
                 part = batch[width == one_width]
-                one, other = (leaves(part[f"bits{c}"], part[f"n{c}"], part[c], one_width) for c in "ab")
-                keep, _ = surviving(one, other)
-                yield part.loc[keep, ["a", "b"]]
+                centre, members = (leaves(part[f"bits{c}"], part[f"n{c}"], part[c], one_width) for c in "ab")
+                keep, _ = star_traversal(part["a"].to_numpy(np.int64), centre, members)
+                yield part.iloc[keep][["a", "b"]]
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
     near = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return met.where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").mapInPandas(check, f"a {kind}, b {kind}")
+    # Partners of one document lie together, by size; a split of a hot one gives several trees.
+    rows = met.where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").sortWithinPartitions("a", "nb", "b")
+    return rows.mapInPandas(check, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -265,6 +271,33 @@ def surviving(one: Level, other: Level) -> tuple[np.ndarray, np.ndarray]:
     return fits & apart & (overlap >= needed(low_a + low_b)), overlap
 
 
+def star_traversal(star: np.ndarray, centre: Level, members: Level) -> tuple[np.ndarray, int]:
+    """Members that may link with the centre of their star, and the number of node pairs visited.
+
+    ``star`` is equal along each run of members of one star; each run forms a tree. ``centre`` has
+    the star's document once per member. A node that cannot link takes all below it along.
+    """
+    how = np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum
+    levels, heads, above = [members], [np.arange(len(star))], []
+    new = np.append(True, star[1:] != star[:-1])[: len(star)]
+    while not new.all():
+        along = np.arange(len(new))
+        cut = new | ((along - np.maximum.accumulate(np.where(new, along, 0))) % FANOUT == 0)
+        cuts = np.flatnonzero(cut)
+        levels.append(tuple(f.reduceat(v, cuts, axis=0) for f, v in zip(how, levels[-1])))
+        heads.append(heads[-1][cuts])
+        above.append(np.cumsum(cut) - 1)
+        new = new[cuts]
+    alive, visited = np.ones(len(new), bool), 0
+    for level in range(len(levels) - 1, -1, -1):
+        if level < len(above):
+            alive = alive[above[level]]
+        at = np.flatnonzero(alive)
+        visited += len(at)
+        alive[at], _ = surviving(tuple(v[heads[level][at]] for v in centre), tuple(v[at] for v in levels[level]))
+    return np.flatnonzero(alive), visited
+
+
 def dual_traversal(one: list[Level], other: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Members of ``one`` and ``other`` that may link, with their largest overlap."""
     same = one is other
@@ -360,13 +393,13 @@ def mixed_trees(shared: DataFrame, clusters: DataFrame) -> DataFrame:
     return placed.join(several, "h")
 
 
-def candidates(mixed: DataFrame, nodes: DataFrame, best: int | None) -> DataFrame:
-    """Pairs that the dual traversal of each tree leaves."""
+def candidates(mixed: DataFrame, nodes: DataFrame, best: int | None, by: tuple[str, ...] = ("cluster", "n", "id")) -> DataFrame:
+    """Pairs that the dual traversal of each tree leaves; members lie in the order ``by``."""
     blocks = F.ceil(F.col("rows") / TREE_ROWS).cast("int")
     placed = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     met = placed.select("h", "id", "cluster", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
     met = met.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with")
-    order = "h", "i", "j", "cluster", "n", "id"
+    order = "h", "i", "j", *by
     rows = met.join(nodes.select("id", "n", "bits"), "id").repartition("h", "i", "j").sortWithinPartitions(*order)
     kind = dict(nodes.dtypes)["id"]
 
@@ -432,8 +465,8 @@ def shared_fronts(nodes: DataFrame) -> DataFrame:
     return rare.unionByName(common.join(several.drop("rows"), "h"))
 
 
-def group(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``documents``."""
+def rooted(documents: DataFrame) -> tuple[DataFrame, ...]:
+    """Sizes of all rows, each document's distinct set, the sets' nodes, and the rows of their trees."""
     whole = materialize(described(documents, frequent_shingles(documents)), "described")
     every = materialize(whole.select("doc_id", "n", "k1", "k2"), "set-keys")
     one_each = whole.where("doc_id is not null and n > 0")
@@ -445,7 +478,13 @@ def group(documents: DataFrame) -> DataFrame:
     same = materialize(light.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "distinct-sets")
     nodes = materialize(one_each.withColumnRenamed("doc_id", "id").join(same.select("id"), "id"), "nodes")
     discard(whole)
-    shared = materialize(shared_fronts(nodes), "shared-shingles")
+    copies = light.select("doc_id", "k1", "k2").join(same, ["k1", "k2"]).select("doc_id", "id")
+    return every, copies, nodes, materialize(shared_fronts(nodes), "shared-shingles")
+
+
+def group(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``documents``."""
+    every, copies, nodes, shared = rooted(documents)
     stars = shared.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(materialize(promising(stars, nodes), "pairs"), nodes, documents)
     clusters = materialize(components(links).select("id", F.col("component").alias("cluster")), "clusters")
@@ -459,12 +498,38 @@ def group(documents: DataFrame) -> DataFrame:
         if best is None or not later.take(1):
             break
         shared = materialize(shared.join(later, "h", "left_semi"), "shared-shingles")
-    copies = light.select("doc_id", "k1", "k2").join(same, ["k1", "k2"]).select("doc_id", "id")
     placed = copies.join(clusters, "id", "left").select("doc_id", F.coalesce("cluster", "id").alias("component_id"))
     sizes = every.select("doc_id", F.col("n").alias("n_shingles"))
     return sizes.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and which documents have each set.
+
+    The first frame has a row ``a, b`` (``a < b``) per two sets that link, each named by its least
+    doc_id; the second a row ``doc_id, id`` per document with words. Documents of one set link too.
+    All pairs come out of the dual traversal of the trees; the work grows with the links there are.
+    """
+    _, copies, nodes, shared = rooted(documents)
+    alone = nodes.select("id", F.col("id").alias("cluster"))
+    found = candidates(mixed_trees(shared.select("h", "id"), alone), nodes, None, ("n", "id"))
+    return verified(found.select("a", "b").distinct(), nodes, documents), materialize(copies, "set-members")
+
+
+def linked(documents: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every document with words: the least document with its set, and
+    the number of other documents it links with, copies counted each."""
+    pairs, members = links(documents)
+    sizes = members.groupBy("id").agg(F.count("*").alias("size"))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(
+        pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))
+    )
+    others = sizes.select(F.col("id").alias("other"), F.col("size").alias("more"))
+    reached = both.join(others, "other").groupBy("id").agg(F.sum("more").alias("more"))
+    counted = sizes.join(reached, "id", "left").select("id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return members.join(counted, "id").select("doc_id", F.col("id").alias("class_id"), "n_links")
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The document with the least id of each component, with all its columns.
 

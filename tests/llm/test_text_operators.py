@@ -344,11 +344,23 @@ def test_site_lines_awkward(spark, awkward, empty):
 # Jaccard join
 
 
-def brute_components(rows):
-    sets = {}
+def brute_links(rows):
+    """Each document's set of shingles, and all pairs that link."""
+    sets, pairs = {}, set()
     for doc_id, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         sets[doc_id] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    holders = defaultdict(list)
+    for doc_id, own in sets.items():
+        shared = Counter(other for s in own for other in holders[s])
+        pairs |= {(other, doc_id) for other, n in shared.items() if 100 * n >= 75 * (len(own) + len(sets[other]) - n)}
+        for s in own:
+            holders[s].append(doc_id)
+    return sets, pairs
+
+
+def brute_components(rows):
+    sets, pairs = brute_links(rows)
     root = {k: k for k in sets}
 
     def find(k):
@@ -356,15 +368,9 @@ def brute_components(rows):
             k = root[k]
         return k
 
-    holders = defaultdict(list)
-    for doc_id, own in sets.items():
-        shared = Counter(other for s in own for other in holders[s])
-        for other, n in shared.items():
-            if 100 * n >= 75 * (len(own) + len(sets[other]) - n):
-                a, b = find(doc_id), find(other)
-                root[max(a, b)] = min(a, b)
-        for s in own:
-            holders[s].append(doc_id)
+    for one, other in pairs:
+        a, b = find(one), find(other)
+        root[max(a, b)] = min(a, b)
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
@@ -400,6 +406,56 @@ def test_tree_blocks_and_cuts_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("tree_rows", [1024, 4])
+def test_links_match_brute_force(spark, real, monkeypatch, tree_rows):
+    """Every link between different sets comes out of the traversal; copies count in the number of links."""
+    monkeypatch.setattr(jaccard_join, "TREE_ROWS", tree_rows)
+    pick = random.Random(8)
+    made = [t for size in (5, 9, 40, 300, 1500) for t in family(pick, size, 10, max(1, size // 45))]
+    made += [*made[:4], made[0], None, "", "A b C d e f g", "a B c D e F g"]
+    rows = list(enumerate([*made, *(r["text"] for r in real.collect())]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, pairs = brute_links(rows)
+    least = {}
+    for doc_id, own in sets.items():
+        least.setdefault(frozenset(own), doc_id)
+    classes = {k: least[frozenset(own)] for k, own in sets.items() if own}
+    found, members = jaccard_join.links(df)
+    assert {tuple(r) for r in members.select("doc_id", "id").collect()} == set(classes.items())
+    wanted = {(a, b) for a, b in pairs if classes[a] == a and classes[b] == b}
+    got = [tuple(r) for r in found.select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and wanted
+    degree = Counter(k for pair in pairs for k in pair)
+    counted = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.linked(df).collect()}
+    assert counted == {k: (c, degree[k]) for k, c in classes.items()}
+
+
+def test_links_awkward(spark, awkward, empty):
+    assert jaccard_join.linked(empty).count() == 0
+    counted = jaccard_join.linked(awkward)
+    assert counted.columns == ["doc_id", "class_id", "n_links"]
+    assert counted.count() == counted.select("doc_id").distinct().count() == counted.where("doc_id is not null").count()
+
+
+def test_star_traversal_prunes_and_keeps_what_single_checks_keep():
+    pick = np.random.default_rng(4)
+    sets, star = [], []
+    for centre, size in ((0, 700), (1, 1), (2, 65)):
+        own = np.unique(pick.integers(0, 2**63, 30).astype(np.uint64))
+        for k in range(size):
+            near = np.unique(np.append(own[: 30 - k % 3], pick.integers(0, 2**63, k % 3).astype(np.uint64)))
+            sets.append((own, near if k % 100 == 0 else np.unique(pick.integers(0, 2**63, 20 + k // 40).astype(np.uint64))))
+            star.append(centre)
+    star = np.array(star)
+    level = lambda side, ids: jaccard_join.leaves([jaccard_join.bitmap(s[side]) for s in sets], [len(s[side]) for s in sets], ids, 256)
+    centre, members = level(0, star), level(1, 10 + np.arange(len(sets)))
+    keep, visited = jaccard_join.star_traversal(star, centre, members)
+    assert keep.tolist() == np.flatnonzero(jaccard_join.surviving(centre, members)[0]).tolist()
+    assert 9 <= len(keep) and visited < len(sets) // 2
+    none = jaccard_join.star_traversal(star[:0], *(tuple(v[:0] for v in side) for side in (centre, members)))
+    assert none[0].tolist() == [] and none[1] == 0
+
+
 def test_bound_is_never_below_the_overlap():
     pick = jaccard_join.np.random.default_rng(2)
     pool = pick.integers(0, 2**63, 4000).astype("uint64")
