@@ -4,13 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from attendra.operators import aggregates as A
+from attendra.operators import evaluation as V
 from attendra.operators.explain import contributions
 from attendra.operators.filters import flagged
-from attendra.operators.scoring import LogisticScorer
+from attendra.operators.scoring import LogisticScorer, SparkModelScorer
 from attendra.operators.sampling import sample_per
 from attendra.plans import risk_report as R
 from attendra.plans import training_set as S
 from attendra.plans.features import attendance_years, student_history
+from workloads import standin
 
 
 @pytest.fixture
@@ -76,3 +78,37 @@ def test_levels_are_rolled_up_from_leaves(spark):
     text = plan(A.rollup_scorecard(df, ["a", "b"]))
     below = text[text.index("Expand") :]
     assert "partial_count" in below
+
+
+def test_distinct_schools_take_one_shuffle_where_rows_are_placed(spark):
+    rows = [(s, 2020 + (s or 0) % 2, k) for s in (1, 2, 3, None) for k in (7, 7, 8 + (s or 0) % 2, None)]
+    enrollment = spark.createDataFrame(rows, "student_key long, school_year int, school_key long")
+    placed = standin.placed_by_year({"enrollment": enrollment})["enrollment"]
+    counted = [A.moves(df, "student_key", "school_year", "school_key") for df in (enrollment, placed)]
+    assert [len(exchanges(df)) for df in counted] == [2, 1]
+    assert sorted(map(str, counted[0].collect())) == sorted(map(str, counted[1].collect()))
+
+
+def test_fit_computes_its_rows_once_and_scores_them_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(i):
+        computed.add(1)
+        return i % 10 / 10
+
+    base = spark.range(200).select((F.col("id") % 10 < 4).cast("int").alias("label"), slow("id").alias("x"))
+    model, threshold = V.fit(base, ["x"], "label", maxIter=2, maxDepth=2)
+    assert computed.value == 200
+    assert [type(s).__name__ for s in model.stages] == ["VectorAssembler", "GBTClassificationModel"]
+    rows = spark.range(200).select((F.col("id") % 10 < 4).cast("int").alias("label"), (F.col("id") % 10 / 10).alias("x"))
+    scored = SparkModelScorer(model).score(rows)
+    assert V.best_threshold(scored, "label").first()["threshold"] == threshold
+    assert plan(V.threshold_curve(scored, "label")).count("UDF(UDF(UDF(") == 1
+
+
+def test_thresholds_leave_unscored_rows_out(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.2, None), (None, 1), (None, 0)], "risk_score double, y int")
+    found = {r["threshold"]: (r["flagged"], r["tp"], r["positives"]) for r in V.threshold_curve(df, "y").collect()}
+    assert found == {0.9: (1, 1, 1), 0.2: (3, 1, 1)}
+    assert V.best_threshold(df.filter("risk_score IS NULL"), "y").first() is None

@@ -74,7 +74,7 @@ def _rounded(name: str) -> str:
 
 
 def training(t):
-    return S.training_set(standin.tables(t), patterns=standin.PATTERNS)
+    return S.training_set(standin.placed_by_year(standin.tables(t)), patterns=standin.PATTERNS)
 
 
 @query(

@@ -264,11 +264,17 @@ def best_threshold(t):
     return V.best_threshold(labelled(t), "label").withColumn("f1", F.round("f1", 6))
 
 
+def encoded_rows(t):
+    """Training rows with all model inputs, encoded as they are read."""
+    tables = standin.placed_by_year(standin.tables(t))
+    rows = materialize(training_set(tables, patterns=standin.PATTERNS), "training")
+    vocab = materialize(E.learn_vocab(rows, config.CATEGORY_FEATURES), "vocab")
+    return E.encode(rows, vocab, config.CATEGORY_FEATURES)
+
+
 def training_rows(t):
     """Stored training rows with all model inputs."""
-    rows = materialize(training_set(standin.tables(t), patterns=standin.PATTERNS), "training")
-    vocab = materialize(E.learn_vocab(rows, config.CATEGORY_FEATURES), "vocab")
-    return materialize(E.encode(rows, vocab, config.CATEGORY_FEATURES), "encoded")
+    return materialize(encoded_rows(t), "encoded")
 
 
 @query("ml7_fit")
@@ -279,7 +285,7 @@ def fit(t):
 
 @query("ml8_importance")
 def importance(t):
-    model, _ = V.fit(training_rows(t))
+    model, _ = V.fit(encoded_rows(t))
     return V.importance(t.spark, model)
 
 
@@ -437,7 +443,7 @@ def stored_model(t):
 def stored_trees(t):
     """Report rows by boosted trees, in-session and read back with their vocabularies; both scores must agree."""
     tables = standin.tables(t)
-    rows = materialize(training_set(tables, patterns=standin.PATTERNS), "training")
+    rows = materialize(training_set(standin.placed_by_year(tables), patterns=standin.PATTERNS), "training")
     vocab = materialize(E.learn_vocab(rows, config.CATEGORY_FEATURES), "vocab")
     encoded = materialize(E.encode(rows, vocab, config.CATEGORY_FEATURES), "encoded")
     held = V.fit_held_out(encoded, last=standin.TARGET_YEAR)
